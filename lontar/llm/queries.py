@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lontar.llm import addresses, canonical, templates
+from lontar.llm import addresses, canonical, mixing, splitting, templates, tokens
 from lontar.runtime import table
 
 
@@ -22,6 +22,37 @@ def p5_found(spark, folder):
     return canonical.canonical_entries(table(spark, folder, "listings"), table(spark, folder, "canonical_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found)}
+def p7_ids(spark, folder):
+    """The ids of every document."""
+    return tokens.encode(table(spark, folder, "documents"), "byte_bpe_50k")
+
+
+def p8_mix(spark, folder):
+    """The documents of the mixture, and how often each is used."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark, folder):
+    """The share that each source reaches, beside its target."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def _limits(spark, folder):
+    return table(spark, folder, "split_limits").first()
+
+
+def p9_found(spark, folder):
+    """Documents with more tokens than the limit."""
+    limit = _limits(spark, folder)
+    return splitting.oversized_ids(table(spark, folder, "documents"), limit.max_tokens, limit.tokenizer)
+
+
+def p9_pieces(spark, folder):
+    """The pieces of the documents beyond the limit."""
+    limit = _limits(spark, folder)
+    return splitting.split(table(spark, folder, "documents"), limit.max_tokens, limit.overlap_tokens, limit.tokenizer)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 ORACLE = {}
