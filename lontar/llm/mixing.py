@@ -6,8 +6,9 @@ method, balanced within each source on token and document totals:
 
 * flight: three undecided documents at a time move along the null space of the two constraints, (t2-t3, t3-t1, t1-t2)
   for token counts t, by one of the two steps that bring one of them to 0 or 1, chosen so that the expectation stays.
-  Triples are disjoint, so all of a block move at once, in arrays, and the last few
-  hundred one trio after the other, largest documents first; both totals stay exact. A source is dealt out in
+  Triples are disjoint, so all of a block move at once, in arrays. The last few
+  hundred move together, along the projection of the largest document on the null space, so that large documents
+  are decided first and balanced by many small ones; both totals stay exact. A source is dealt out in
   blocks of bounded size that fly apart and leave two undecided documents each; these form the next level's blocks,
   until a source has one;
 * landing: of the last two documents of a source the token constraint alone is kept, then chance decides.
@@ -35,7 +36,7 @@ from lontar.runtime import cut_lineage
 SHORT = 0.05
 #: Documents of a source that fly together.
 BLOCK = 50_000
-#: Undecided documents of a block from which on trios move one by one, largest first.
+#: Undecided documents of a block from which on all move together, led by the largest.
 LAST = 300
 
 
@@ -70,24 +71,33 @@ def flight(p: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> np.ndarray
     p, eps = p.astype(float).copy(), 1e-9
     while True:
         open_ = np.nonzero((p > eps) & (p < 1 - eps))[0]
-        n = len(open_) // 3
-        if n == 0:
+        if len(open_) <= 2:
             p[p <= eps], p[p >= 1 - eps] = 0, 1
             return p
-        if len(open_) <= LAST:  # one trio of the largest at a time, so that what stays undecided is small
-            open_ = open_[np.argsort(-t[open_], kind="stable")][:3]
-            n = 1
-        trio = open_[: 3 * n].reshape(n, 3)
-        a, b, c = t[trio[:, 0]], t[trio[:, 1]], t[trio[:, 2]]
-        u = np.stack([b - c, c - a, a - b], axis=1).astype(float)
-        same = (u == 0).all(axis=1)  # three alike: any direction of sum 0 will do
-        u[same] = (1.0, -1.0, 0.0)
-        q = p[trio]
+        if len(open_) <= LAST:  # the largest, balanced by all others
+            group, size = open_[None, :], t[open_].astype(float)
+            lead = np.zeros(len(open_))
+            lead[np.argmax(size)] = 1
+            bound = np.stack([np.ones(len(open_)), size / max(size.max(), 1)])
+            u = lead - bound.T @ np.linalg.lstsq(bound @ bound.T, bound @ lead, rcond=None)[0]
+            if np.abs(u).max() < 1e-7:  # the only one of its size: balance the two smallest kinds instead
+                u = np.zeros(len(open_))
+                order = np.argsort(size, kind="stable")[:3]
+                a, b, c = size[order]
+                u[order] = (b - c, c - a, a - b) if len({a, b, c}) > 1 else (1, -1, 0)
+            u = (u / np.abs(u).max())[None, :]
+            u[np.abs(u) < 1e-12] = 0
+        else:
+            group = open_[: len(open_) // 3 * 3].reshape(-1, 3)
+            a, b, c = t[group[:, 0]], t[group[:, 1]], t[group[:, 2]]
+            u = np.stack([b - c, c - a, a - b], axis=1).astype(float)
+            u[(u == 0).all(axis=1)] = (1.0, -1.0, 0.0)  # three alike: any direction of sum 0 will do
+        q = p[group]
         with np.errstate(divide="ignore", invalid="ignore"):
             up = np.where(u > 0, (1 - q) / u, np.where(u < 0, q / -u, np.inf)).min(axis=1)
             down = np.where(u > 0, q / u, np.where(u < 0, (1 - q) / -u, np.inf)).min(axis=1)
-        step = np.where(rng.random(n) < down / (up + down), up, -down)
-        p[trio] = np.clip(q + step[:, None] * u, 0, 1)
+        step = np.where(rng.random(len(group)) < down / (up + down), up, -down)
+        p[group] = np.clip(q + step[:, None] * u, 0, 1)
 
 
 def landing(p: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> np.ndarray:
