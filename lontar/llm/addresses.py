@@ -38,13 +38,13 @@ ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii":
 _PAREN = re.compile(r"\([^)]*\)")
 _POST = re.compile(r"\b\d{5}\b")
 _RT = re.compile(r"\brt\W*(\d{1,3})\W*(?:rw)?\W*(\d{1,3})")
-_BLOCK = re.compile(rf"\b(?:{BLOCK})\b[\s.:]*([a-z]{{1,2}})[\s.-]*(\d*)[\s,.]*(?:/|(?:{NUMBER})\b|#)[\s.:]*(\d+)(?:\s*-?\s*([a-z])\b)?")
-_NO = re.compile(rf"(?:\b(?:{NUMBER})(?=[\s.:\d])|#)[\s.:]*(\d+)(?:\s*-?\s*([a-z])\b(?![.]))?")
+_BLOCK = re.compile(rf"\b(?:{BLOCK})\b[\s.:]*([a-z]{{1,2}})[\s.-]*(\d*)[\s,.]*(?:/|(?:{NUMBER})\b|#)[\s.:]*(\d+)(?:\s*[-/]?\s*([a-z])\b)?")
+_NO = re.compile(rf"(?:\b(?:{NUMBER})(?=[\s.:\d])|#)[\s.:]*(\d+)(?:\s*[-/]?\s*([a-z])\b(?![.]))?")
 _SEP = re.compile(r"\s*[,;\n\r]+\s*|\s+-+\s+")
 _STREET = re.compile(rf"^(?:{STREET})(?=[\s.:])[\s.:]*")
 _WARD = re.compile(rf"^(?:{WARD})(?=[\s.:])[\s.:]*")
 _DIST = re.compile(rf"^(?:{DISTRICT})(?=[\s.:])[\s.:]*")
-_BARE = re.compile(r"^(.*?[a-z])\s+(\d+)\s*-?\s*([a-z])?$")
+_BARE = re.compile(r"^(.*?[a-z])\s+(\d+)\s*[-/]?\s*([a-z])?$")
 _NUM = re.compile(r"\s+(x|ix|iv|v?i{1,3}|v|\d{1,2})$")
 _SPACE = re.compile(r"[ \t ]+")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lontar.llm import addresses, canonical, mixing, splitting, templates, tokens
+from lontar.llm import addresses, canonical, consensus, listings, mixing, splitting, templates, tokens
 from lontar.runtime import table
 
 
@@ -11,12 +11,56 @@ def p1_found(spark, folder):
     return templates.residue_ids(table(spark, folder, "listings"), "deskripsi")
 
 
+def p1_templates(spark, folder):
+    """The residue itself: each flagged template and kind, with the number of rows that hold it."""
+    found = templates.flagged_segments(table(spark, folder, "listings"), "deskripsi")
+    return found.groupBy("template", "kind").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_segments"))
+
+
+def p1_leaks(spark, folder):
+    """Listings with residue per batch, beside the count of the audit report."""
+    rows = table(spark, folder, "listings")
+    found = rows.select("id", "batch_id").distinct().join(templates.residue_ids(rows), "id").groupBy("batch_id").agg(F.count("*").alias("n_found"))
+    told = table(spark, folder, "audit_report").select("batch_id", F.col("maps_readiness.template_leak").alias("template_leak"))
+    return told.join(found, "batch_id", "left").select("batch_id", "template_leak", F.coalesce("n_found", F.lit(0)).alias("n_found"))
+
+
+def p2_found(spark, folder):
+    """The consensus of every pair with valid labels of two annotators or more."""
+    return consensus.consensus(table(spark, folder, "relevance_labels")).where(F.col("n_annotators") >= 2).select("query_id", "listing_id", "relevance")
+
+
+def p2_agreement(spark, folder):
+    """Consensus, agreement and confidence of every labelled pair, beside the consensus published earlier."""
+    earlier = table(spark, folder, "relevance_consensus").groupBy("query_id", "listing_id").agg(F.max("relevance").alias("published"))
+    return consensus.consensus(table(spark, folder, "relevance_labels")).join(earlier, ["query_id", "listing_id"], "left")
+
+
+def p2_annotators(spark, folder):
+    """Reliability of every annotator."""
+    return consensus.reliability(consensus.votes(table(spark, folder, "relevance_labels")))
+
+
 def p3_found(spark, folder):
     """Pairs of listings at one address."""
     districts = table(spark, folder, "canonical_values").where(F.col("field_name") == "kecamatan").select("entry")
     return addresses.address_pairs(table(spark, folder, "listings"), districts)
 
 
+def _districts(spark, folder):
+    return table(spark, folder, "canonical_values").where(F.col("field_name") == "kecamatan").select("entry", "aliases")
+
+
+def p4_found(spark, folder):
+    """Pairs of listings of one room."""
+    return listings.room_pairs(table(spark, folder, "listings"), _districts(spark, folder))
+
+
+def p4_rooms(spark, folder):
+    """The room that each listing offers."""
+    return listings.room_clusters(table(spark, folder, "listings"), _districts(spark, folder))
+
+
 def p5_found(spark, folder):
     """The entry meant by each freely typed sub-district and facility."""
     return canonical.canonical_entries(table(spark, folder, "listings"), table(spark, folder, "canonical_values"))
@@ -53,6 +97,9 @@ def p9_pieces(spark, folder):
     return splitting.split(table(spark, folder, "documents"), limit.max_tokens, limit.overlap_tokens, limit.tokenizer)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_templates, p1_leaks, p2_found, p2_agreement, p2_annotators, p3_found, p4_found, p4_rooms, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
+}
 
 ORACLE = {}
