@@ -179,7 +179,12 @@ def _compare(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         weight += (3 if named[k] else 2 if name else 0) + (3 if address[k] else 2 if street else 0)
         if c["id"][a] != c["id"][b]:
             out.append((*sorted((c["id"][a], c["id"][b])), float(weight)))
-    return pd.DataFrame(out, columns=["a", "b", "weight"])
+    return _links(out)
+
+
+def _links(rows: list[tuple[str, str, float]]) -> pd.DataFrame:
+    """A table of (a, b, weight), typed also when it is empty."""
+    return pd.DataFrame({"a": np.array([r[0] for r in rows], dtype=object), "b": np.array([r[1] for r in rows], dtype=object), "weight": np.array([r[2] for r in rows], dtype=float)})
 
 
 def _windows(n: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +199,7 @@ def sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
     """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of ``key``."""
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, carry, none = None, None, pd.DataFrame({"a": [], "b": [], "weight": []})
+        head, carry, none = None, None, _links([])
         for pdf in batches:
             pdf = pdf.drop(columns=["key"])
             both = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
@@ -220,9 +225,9 @@ def sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
                 both = pd.concat([before, head], ignore_index=True)
                 i, j = _windows(len(both), len(before))
                 crossing = i < len(before)
-                out.append(_compare(both, i[crossing], j[crossing]))
+                out += _compare(both, i[crossing], j[crossing]).itertuples(index=False, name=None)
             before = pd.concat([before, tail], ignore_index=True).iloc[-WINDOW:] if before is not None and len(tail) < WINDOW else tail
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "weight": []})
+        return _links(out)
 
     at_borders = slid.where("border is not null").select("at", "border", F.lit("all").alias("one")).groupBy("one").applyInPandas(borders, "a string, b string, weight double")
     return slid.where("border is null").select("a", "b", "weight").unionByName(at_borders)
