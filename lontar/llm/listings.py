@@ -41,11 +41,13 @@ WINDOW = 16
 
 # How advertisements state room class, tenants, size and the house's name.
 CLASSES = {"vip": r"v\.i\.p|vip", "suite": r"suite", "deluxe": r"deluxe|dlx", "economy": r"ekonomi|eko|hemat", "standard": r"standar[dt]?|std"}
-_CLASS = re.compile(r"(?<![a-z])(?:" + "|".join(f"(?P<{a}>{b})" for a, b in CLASSES.items()) + r")(?![a-z])", re.I)
-_SIZE = re.compile(r"(?<![\d.,])(\d{1,3}(?:[.,]\d)?)\s*(?:m|cm)?\s*(?:x|×|kali)\s*(\d{1,3}(?:[.,]\d)?)", re.I)
-_TENANT = re.compile(r"(?P<campur>putra\s*/\s*putri|campur|bebas(?! (?:banjir|jam))|(?<!renang )(?<!pantry )umum|male or female)|(?P<putra>putra|cowok|laki-laki|pria|(?<!fe)male)|(?P<putri>putri|cewek|wanita|perempuan|female)", re.I)
-_TITLED = re.compile(r"(?:kami bernama|selamat datang di|nama kos:|this is)\s+((?:(?:wsm|pdk|pav|rmh|gry)\.\s*)?[^.\n]*)|([^.\n]*(?:(?:wsm|pdk|pav|rmh|gry)\.\s*[^.\n]*)?) menerima penghuni", re.I)
-_PRICE = re.compile(r"(?:rp|idr)\s*(\d{1,3}(?:[.,]\d{3})+)|(\d+(?:[.,]\d+)?)\s*(jt|juta|rb|ribu|k)\b", re.I)
+_CLASS = re.compile(r"\b(?:" + "|".join(f"(?P<{a}>{b})" for a, b in CLASSES.items()) + r")(?![a-z])")
+_SIZE = re.compile(r"\b(\d{1,3}(?:[.,]\d)?) ?(?:m|cm)? ?(?:x|×|kali) ?(\d{1,3}(?:[.,]\d)?)")
+_TENANT = re.compile(r"(?P<campur>putra ?/ ?putri|campur|bebas(?! (?:banjir|jam))|(?<!renang )(?<!pantry )umum|male or female)|(?P<putra>putra|cowok|laki-laki|pria|(?<!fe)male)|(?P<putri>putri|cewek|wanita|perempuan|female)")
+_TITLED = re.compile(r"(?:kami bernama|selamat datang di|nama kos:|this is) ((?:(?:wsm|pdk|pav|rmh|gry)\. *)?[^.\n]*)")
+_TAKES = " menerima penghuni"
+_ABBREVIATED = re.compile(r"\b(?:wsm|pdk|pav|rmh|gry)\. *[^.\n]*$")
+_PRICE = re.compile(r"\b(?:rp|idr) ?(\d{1,3}(?:[.,]\d{3})+)|\b(\d+(?:[.,]\d+)?) ?(jt|juta|rb|ribu|k)\b")
 _WORD = re.compile(r"[a-z]{4,}")
 TENANTS = {"putra": 1, "putri": 2, "campur": 3}
 CLASS_CODES = {name: k for k, name in enumerate(CLASSES, 1)}
@@ -58,7 +60,7 @@ def room_price(stated: float | None, text: str) -> int:
     if m := _PRICE.search(text):
         if m[1]:
             return int(re.sub(r"\D", "", m[1]))
-        return int(round(float(m[2].replace(",", ".")) * (1_000_000 if m[3].lower().startswith("j") else 1000)))
+        return int(round(float(m[2].replace(",", ".")) * (1_000_000 if m[3].startswith("j") else 1000)))
     if stated is not None and stated == stated:
         p = int(stated) * (1000 if 100 <= stated < 10_000 else 1)
         return p if 100_000 <= p <= 20_000_000 else 0
@@ -66,8 +68,8 @@ def room_price(stated: float | None, text: str) -> int:
 
 
 def read_room(title: str, text: str, kind: str) -> tuple[int, int, int]:
-    """Codes of tenant type, class and size (width * 1000 + length in centimetres) as stated; 0 where they are not. The shorter side of a size
-    comes first."""
+    """Codes of tenant type, class and size (width * 1000 + length in centimetres) as stated in lower-case texts; 0 where
+    they are not. The shorter side of a size comes first."""
     m = _TENANT.search(title) or _TENANT.search(text)
     tenant = TENANTS[m.lastgroup] if m else TENANTS.get(kind.strip().lower(), 0)
     m = _CLASS.search(title) or _CLASS.search(text)
@@ -80,6 +82,18 @@ def read_room(title: str, text: str, kind: str) -> tuple[int, int, int]:
     return tenant, room, size
 
 
+def told_name(text: str) -> str:
+    """What a lower-case description says the house is called; the empty text if it does not."""
+    if m := _TITLED.search(text):
+        return m[1]
+    if (at := text.find(_TAKES)) >= 0:
+        sentence = text[max(text.rfind(".", 0, at), text.rfind("\n", 0, at)) + 1 : at]
+        if m := _ABBREVIATED.search(text[:at]):
+            sentence = m[0]
+        return sentence
+    return ""
+
+
 def generic_words(listings: DataFrame) -> set[str]:
     """The words that at least ``GENERIC`` of all titles use: at most 1 / GENERIC times a title's length of them."""
     words = listings.select(F.array_distinct(F.regexp_extract_all(F.lower("judul"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
@@ -101,18 +115,17 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generic, known = shared.value
-        named = re.compile("|".join(re.escape(x) for x in sorted(known, key=len, reverse=True)) or r"(?!)", re.I)
+        named = re.compile("|".join(re.escape(x.lower()) for x in sorted(known, key=len, reverse=True)) or r"(?!)")
         proper = {x.lower(): x for x in known}
         for pdf in batches:
             out = []
             for id_, title, text, address, place, kind, price in zip(pdf["id"], pdf["judul"], pdf["deskripsi"], pdf["alamat"], pdf["place"], pdf["tipe"], pdf["harga_per_bulan"]):
-                title, text = title or "", text or ""
-                called = [w for w in _WORD.findall(title.lower()) if w not in generic]
-                m = _TITLED.search(text)
-                told = [w for w in _WORD.findall((m[1] or m[2] or "").lower()) if w not in generic] if m else []
+                title, text = (title or "").lower(), (text or "").lower()
+                called = [w for w in _WORD.findall(title) if w not in generic]
+                told = [w for w in _WORD.findall(told_name(text)) if w not in generic]
                 where = parse_address(address) if address else None
-                if not place and (m := named.search(address or "") or named.search(title) or named.search(text)):
-                    place = proper[m[0].lower()]
+                if not place and (m := named.search((address or "").lower()) or named.search(title) or named.search(text)):
+                    place = proper[m[0]]
                 tenant, room, size = read_room(title, text, kind or "")
                 street, number = (where[0], "|".join(where[1:4])) if where else ("", "")
                 out.append((id_, " ".join(called[:4]), " ".join(told[:4]), street, number, place or "", tenant, room, size, room_price(price, text)))
