@@ -1,8 +1,8 @@
 """All registered queries of the core, with their oracle SQL where SQL can express them."""
 
-from lontar.plans import evaluation, geo, retrieval, text
+from lontar.plans import evaluation, geo, quality, retrieval, text
 
-MODULES = (retrieval, text, evaluation, geo)
+MODULES = (retrieval, text, evaluation, quality, geo)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
