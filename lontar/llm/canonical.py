@@ -74,7 +74,7 @@ def readings(value: str) -> set[str]:
                     slack = 0 if len(w) < 4 else 1 if len(w) < 9 else 2
                     for n in range(len(w) - slack, len(w) + slack + 1):
                         part, rest = (s[:n], s[n:]) if front else (s[-n:], s[:-n])
-                        if len(rest) >= 2 and len(part) == n and (part == w or slack and edits(part, w) <= slack):
+                        if len(rest) >= 2 and len(part) == n and (part == w or slack and sum(c in part for c in w) >= len(w) - slack and edits(part, w) <= slack):
                             found.add(rest)
     return {x for x in found if x}
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.llm import canonical
@@ -137,7 +137,8 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
 #: Two prices of one room may differ by this much, as a logarithm.
 PRICE = 0.12
 PASSES = ("title", "text", "street", "number")
-_MATCH = "a string, b string, weight double, border binary, at int"
+_READ = ("title_name", "text_name", "street", "number", "place", "tenant", "class", "size", "price")
+_MATCH = "a bigint, b bigint, weight double, border binary, at int"
 
 
 def _words_alike(a: str, b: str) -> bool:
@@ -191,13 +192,13 @@ def _compare(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
             continue
         weight += (3 if named[k] else 2 if name else 0) + (3 if address[k] else 2 if street else 0)
         if c["id"][a] != c["id"][b]:
-            out.append((*sorted((c["id"][a], c["id"][b])), float(weight)))
+            out.append((*sorted((int(c["id"][a]), int(c["id"][b]))), float(weight)))
     return _links(out)
 
 
-def _links(rows: list[tuple[str, str, float]]) -> pd.DataFrame:
+def _links(rows: list[tuple[int, int, float]]) -> pd.DataFrame:
     """A table of (a, b, weight), typed also when it is empty."""
-    return pd.DataFrame({"a": np.array([r[0] for r in rows], dtype=object), "b": np.array([r[1] for r in rows], dtype=object), "weight": np.array([r[2] for r in rows], dtype=float)})
+    return pd.DataFrame({"a": np.array([r[0] for r in rows], dtype=np.int64), "b": np.array([r[1] for r in rows], dtype=np.int64), "weight": np.array([r[2] for r in rows], dtype=float)})
 
 
 def _windows(n: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,13 +209,41 @@ def _windows(n: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     return i[i >= 0], j[i >= 0]
 
 
-def sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of ``key``."""
+def _name_code(c: str) -> Column:
+    words = F.split(c, " ")
+    return F.when(F.size(words) >= 2, F.xxhash64(F.array_join(F.array_sort(words), " "))).otherwise(F.lit(0).cast("bigint"))
+
+
+def _code(c: str) -> Column:
+    return F.when(F.col(c) == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(c))
+
+
+def _codes() -> dict[str, Column]:
+    """Integers for names (whatever the order of their words) and places, 0 for unknown, computed after the shuffle."""
+    return {"title_code": _name_code("title_name"), "text_code": _name_code("text_name"), "place_code": _code("place"), "street_code": _code("street"), "number_code": _code("number")}
+
+
+def _pass_key(name: str) -> Column:
+    """The leading sort key of a pass; empty for rows that it leaves out."""
+
+    def words(c: str, other: str, ascending: bool) -> Column:
+        return F.array_join(F.sort_array(F.split(F.when(F.col(c) != "", F.col(c)).otherwise(F.col(other)), " "), ascending), " ")
+
+    house = F.col("street") != ""
+    return {
+        "title": words("title_name", "text_name", True),
+        "text": words("text_name", "title_name", False),
+        "street": F.when(house, F.concat_ws("|", "street", "number")).otherwise(""),
+        "number": F.when(house, F.concat_ws("|", "number", F.reverse("street"))).otherwise(""),
+    }[name]
+
+
+def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
+    """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of the pass ``name``."""
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, carry, none = None, None, _links([])
         for pdf in batches:
-            pdf = pdf.drop(columns=["key"])
             both = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
             known = 0 if carry is None else len(carry)
             found = _compare(both, *_windows(len(both), known)) if len(both) > known else none
@@ -224,10 +253,12 @@ def sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
                 yield found.assign(border=None, at=None)
         if carry is not None:
             border = pickle.dumps((head, carry))
-            yield pd.DataFrame({"a": [None], "b": [None], "weight": [None], "border": [border], "at": [TaskContext.get().partitionId()]})
+            yield pd.DataFrame({"a": [0], "b": [0], "weight": [0.0], "border": [border], "at": [TaskContext.get().partitionId()]})
 
-    ordered = rows.where(F.col(key) != "").withColumn("key", F.col(key)).drop(*(f"{p}_key" for p in PASSES))
-    slid = cut_lineage(ordered.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInPandas(slide, _MATCH))
+    keyed = rows.select("id", *_READ, _pass_key(name).alias("key")).where(F.col("key") != "")
+    order = ("key", "place", "tenant", "class", "size", "id")
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(_codes()).drop("key", "place", "number")
+    slid = cut_lineage(ordered.mapInPandas(slide, _MATCH))
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows at the borders of partitions, in order; a border row meets those of the partitions before it."""
@@ -242,38 +273,10 @@ def sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
             before = pd.concat([before, tail], ignore_index=True).iloc[-WINDOW:] if before is not None and len(tail) < WINDOW else tail
         return _links(out)
 
-    at_borders = slid.where("border is not null").select("at", "border", F.lit("all").alias("one")).groupBy("one").applyInPandas(borders, "a string, b string, weight double")
+    at_borders = slid.where("border is not null").select("at", "border", F.lit("all").alias("one")).groupBy("one").applyInPandas(borders, "a bigint, b bigint, weight double")
     return slid.where("border is null").select("a", "b", "weight").unionByName(at_borders)
 
 
-def _keyed(rooms: DataFrame) -> DataFrame:
-    """Representatives with integer codes of their names and places, and a sort key for each pass."""
-
-    def code(c: str):
-        return F.when(F.col(c) == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(c))
-
-    def words(c: str, other: str, ascending: bool):
-        name = F.when(F.col(c) != "", F.col(c)).otherwise(F.col(other))
-        return F.array_join(F.sort_array(F.split(name, " "), ascending), " ")
-
-    def name_code(c: str):
-        sorted_ = F.array_sort(F.split(c, " "))
-        return F.when(F.size(F.split(c, " ")) >= 2, F.xxhash64(F.array_join(sorted_, " "))).otherwise(F.lit(0).cast("bigint"))
-
-    rest = F.concat_ws("|", "place", F.col("tenant").cast("string"), F.col("class").cast("string"), F.col("size").cast("string"))
-    first, second = words("title_name", "text_name", True), words("text_name", "title_name", False)
-    house = F.col("street") != ""
-    return rooms.select(
-        "*",
-        name_code("title_name").alias("title_code"), name_code("text_name").alias("text_code"),
-        code("place").alias("place_code"), code("street").alias("street_code"), code("number").alias("number_code"),
-        F.when(first != "", F.concat_ws("|", first, rest)).otherwise("").alias("title_key"),
-        F.when(second != "", F.concat_ws("|", second, rest)).otherwise("").alias("text_key"),
-        F.when(house, F.concat_ws("|", "street", "number", rest)).otherwise("").alias("street_key"),
-        F.when(house, F.concat_ws("|", "number", F.reverse("street"), rest)).otherwise("").alias("number_key"),
-    )
-
-
 _STATED = ("tenant", "class", "size", "number_code")
 
 
@@ -340,20 +343,20 @@ def clusters(nodes: DataFrame, links: DataFrame, levels: int = 3) -> DataFrame:
 def room_clusters(listings: DataFrame, districts: DataFrame) -> DataFrame:
     """(id, room): listings of one room share the value of ``room``; every id that has an advertisement is there."""
     read = features(listings, districts)
-    stated = [x.split()[0] for x in FEATURES.split(", ")][1:]
-    groups = cut_lineage(read.groupBy(*stated).agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")))
-    # an id with several advertisements may stand for one group only: number the groups
-    groups = groups.withColumn("id", F.concat_ws("#", "id", F.xxhash64(*stated).cast("string")))
-    rooms = cut_lineage(_keyed(groups.select("id", *stated)))
+    groups = read.groupBy(*_READ).agg(F.collect_set("id").alias("ids"))
+    groups = cut_lineage(groups.withColumn("id", F.monotonically_increasing_id()))
+    rooms = groups.select("id", *_READ)
     found = None
     for p in PASSES:
-        step = sorted_neighbours(rooms, f"{p}_key")
+        step = sorted_neighbours(rooms, p)
         found = step if found is None else found.unionByName(step)
     links = cut_lineage(found.groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     known = lambda c: F.when(F.col(c) != 0, 1).otherwise(0)
-    named = F.when((F.col("title_code") != 0) | (F.col("text_code") != 0), 2).otherwise(0)
-    rank = 10 - (named + F.when(F.col("street_code") != 0, 2).otherwise(0) + known("class") + known("size") + known("price"))
-    placed = clusters(rooms.withColumn("rank", rank), links)
+    named = F.when((F.col("title_name") != "") | (F.col("text_name") != ""), 2).otherwise(0)
+    rank = 10 - (named + F.when(F.col("street") != "", 2).otherwise(0) + known("class") + known("size") + known("price"))
+    nodes = rooms.join(linked, "id", "left_semi").select("id", rank.alias("rank"), "tenant", "class", "size", _code("number").alias("number_code"))
+    placed = clusters(cut_lineage(nodes), links)
     home = groups.select(F.col("id").alias("node"), "ids").join(placed, "node", "left")
     return home.select(F.explode("ids").alias("id"), F.coalesce("cluster", "node").alias("room")).distinct()
 
