@@ -7,8 +7,9 @@ Null behaves as each function's docstring says.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,18 +75,42 @@ def extract_price(text: Column | str) -> Column:
     return F.coalesce(plain, _amount(first(r"(?i)(\d+(?:[.,]\d+)?)\s*jt\b"), 1_000_000), _amount(first(r"(?i)(\d+(?:[.,]\d+)?)\s*(?:k|rb|ribu)\b"), 1_000))
 
 
+#: Rules up to which a chain of expressions is compiled; longer lists run in Arrow batches.
+CHAIN = 24
+
+
 def substitute(text: Column | str, words: Mapping[str, str], longest_first: bool) -> Column:
     """Whole words replaced one rule after the other, so that later rules see what earlier ones wrote.
 
-    Texts without any of the words (one alternation tells) skip the chain.
+    One alternation finds the few texts with any of the words; only those go through the rules, from the first rule on.
     """
     t = _c(text)
     order = sorted(words, key=len, reverse=True) if longest_first else list(words)
     rules = [(rf"\b{re.escape(w)}\b", words[w]) for w in order if words[w] != w]
-    out = t
-    for pattern, new in rules:
-        out = F.regexp_replace(out, pattern, new)
-    return F.when(t.rlike("|".join(p for p, _ in rules)), out).otherwise(t) if rules else t
+    if not rules:
+        return t
+    if len(rules) <= CHAIN:
+        out = t
+        for pattern, new in rules:
+            out = F.regexp_replace(out, pattern, new)
+        return F.when(t.rlike("|".join(p for p, _ in rules)), out).otherwise(t)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        some = re.compile(r"\b(?:" + "|".join(re.escape(w) for w in order) + r")\b", re.ASCII)
+        steps = [(re.compile(p, re.ASCII), new) for p, new in rules]
+
+        def chain(s: str | None) -> str | None:
+            if s is None or not some.search(s):
+                return s
+            for pattern, new in steps:
+                s = pattern.sub(new, s)
+            return s
+
+        for batch in batches:
+            yield batch.map(chain)
+
+    return run(t)
 
 
 def apply_jargon(text: Column | str, words: Mapping[str, str] = V.JARGON) -> Column:
