@@ -96,9 +96,10 @@ def entered_values(listings: DataFrame) -> DataFrame:
     return rows.select("id", "v.*").where(~blank(F.col("raw_value")))
 
 
-def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDIDATE) -> DataFrame:
     """(field_name, raw_value, entry) for distinct ``values`` (field_name, raw_value), by the list ``canonical``
-    (field_name, entry, aliases). ``canonical`` is a reference list and may have null or empty aliases."""
+    (field_name, entry, aliases). ``canonical`` is a reference list and may have null or empty aliases. ``candidate`` is the
+    least similarity of bigrams at which an entry is considered; long names need less leeway than short ones."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,7 +121,7 @@ def map_values(values: DataFrame, canonical: DataFrame) -> DataFrame:
     key = F.struct("field_name", "form")
     left = forms.select(key.alias("l")).distinct().select("l", F.transform(grams(F.col("l.form")), lambda g: F.concat("l.field_name", F.lit(":"), g)).alias("tokens"))
     right = entries.select(key.alias("r")).distinct().select("r", F.transform(grams(F.col("r.form")), lambda g: F.concat("r.field_name", F.lit(":"), g)).alias("tokens"))
-    near = prefix_filter_join(left, right, CANDIDATE)
+    near = prefix_filter_join(left, right, candidate)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -37,6 +37,8 @@ from lontar.llm.addresses import parse_address
 from lontar.runtime import bounded_broadcast, cut_lineage
 
 GENERIC = 0.002
+#: Least similarity of bigrams for a sub-district, whose names are long.
+PLACE = 0.4
 WINDOW = 16
 
 # How advertisements state room class, tenants, size and the house's name.
@@ -96,18 +98,19 @@ def told_name(text: str) -> str:
 
 def generic_words(listings: DataFrame) -> set[str]:
     """The words that at least ``GENERIC`` of all titles use: at most 1 / GENERIC times a title's length of them."""
-    words = listings.select(F.array_distinct(F.regexp_extract_all(F.lower("judul"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
-    total = words.where("w is not null").count()
-    counted = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    titles = listings.where(F.col("judul").isNotNull())
+    total = titles.count()
+    words = titles.select(F.explode(F.array_distinct(F.split(F.lower("judul"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
     return {r["word"] for r in counted.where(F.col("n") >= max(3, GENERIC * total)).select("word").collect()}
 
 
 def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
-    """One row per distinct advertisement, columns ``FEATURES``; place is an entry of ``districts`` (entry, aliases)."""
+    """One row per advertisement, columns ``FEATURES``; place is an entry of ``districts`` (entry, aliases)."""
     fields = ["id", "judul", "deskripsi", "alamat", "kecamatan", "tipe", "harga_per_bulan"]
     rows = listings.where(F.col("id").isNotNull()).select(*fields)
     raw = rows.select(F.lit("kecamatan").alias("field_name"), F.col("kecamatan").alias("raw_value")).where(~canonical.blank(F.col("raw_value"))).distinct()
-    places = cut_lineage(canonical.map_values(cut_lineage(raw), districts.select(F.lit("kecamatan").alias("field_name"), "entry", "aliases")))
+    places = cut_lineage(canonical.map_values(cut_lineage(raw), districts.select(F.lit("kecamatan").alias("field_name"), "entry", "aliases"), PLACE))
     places = places.where(F.col("entry") != canonical.UNMATCHED).select(F.col("raw_value").alias("kecamatan"), F.col("entry").alias("place"))
     known = [r["entry"] for r in districts.select("entry").dropna().distinct().collect()]  # the reference list
     generic = generic_words(rows)
@@ -131,7 +134,7 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
                 out.append((id_, " ".join(called[:4]), " ".join(told[:4]), street, number, place or "", tenant, room, size, room_price(price, text)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return rows.join(bounded_broadcast(places), "kecamatan", "left").select("id", "judul", "deskripsi", "alamat", "place", "tipe", "harga_per_bulan").mapInPandas(run, FEATURES).distinct()
+    return rows.join(bounded_broadcast(places), "kecamatan", "left").select("id", "judul", "deskripsi", "alamat", "place", "tipe", "harga_per_bulan").mapInPandas(run, FEATURES)
 
 
 #: Two prices of one room may differ by this much, as a logarithm.
