@@ -115,8 +115,10 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
             yield pd.DataFrame(rows, columns=["field_name", "entry", "form", "short"])
 
     shape = "field_name string, raw_value string, form string"
-    forms = cut_lineage(values.mapInPandas(read, shape))
     entries = cut_lineage(canonical.select("field_name", "entry", "aliases").dropna(subset=["field_name", "entry"]).distinct().mapInPandas(spell, "field_name string, entry string, form string, short int"))
+    # sets of very different size are never that similar: what is far longer than any entry needs no bigrams
+    longest = entries.agg(F.coalesce(F.max(F.length("form")), F.lit(0))).first()[0]
+    forms = cut_lineage(values.mapInPandas(read, shape).where((F.length("form") + 1) * candidate <= longest + 1))
 
     key = F.struct("field_name", "form")
     left = forms.select(key.alias("l")).distinct().select("l", F.transform(grams(F.col("l.form")), lambda g: F.concat("l.field_name", F.lit(":"), g)).alias("tokens"))
