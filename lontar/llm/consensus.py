@@ -65,9 +65,9 @@ def reliability(ballots: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: t
     triplets = one.join(two, "i").where("j < k").join(three, ["j", "k"])
     skill = triplets.groupBy(F.col("i").alias("annotator")).agg(F.median(F.col("ij") * F.col("ik") / F.col("jk")).alias("square"))
     met = edge.groupBy(F.col("a").alias("annotator")).agg(F.sum("n").alias("shared"), (F.sum(F.col("n") * F.col("agree")) / F.sum("n")).alias("mean_agreement"), F.sum(F.col("n") * F.col("m")).alias("sign"))
-    u = F.sqrt(F.greatest("square", F.lit(0.0))) * F.when(F.col("sign") < 0, -1).otherwise(1)
+    u = F.when(F.col("square").isNotNull(), F.sqrt(F.greatest("square", F.lit(0.0)))) * F.when(F.col("sign") < 0, -1).otherwise(1)
     known = ballots.groupBy("annotator").agg(F.count("*").alias("votes")).join(met, "annotator", "left").join(skill, "annotator", "left")
-    raw = cut_lineage(known.withColumn("raw", F.least(F.greatest((1 + (k - 1) * u) / k, F.lit(LEAST)), F.lit(MOST))))
+    raw = cut_lineage(known.withColumn("raw", F.when(u.isNotNull(), F.least(F.greatest((1 + (k - 1) * u) / k, F.lit(LEAST)), F.lit(MOST)))))
     middle = raw.agg(F.coalesce(F.median("raw"), F.lit((1 + 1 / k) / 2)).alias("middle"))
     told = raw.crossJoin(F.broadcast(middle))  # one row, one number
     accuracy = F.coalesce("raw", "middle")

@@ -36,7 +36,9 @@ from lontar.llm import canonical
 from lontar.llm.addresses import parse_address
 from lontar.runtime import bounded_broadcast, cut_lineage
 
-GENERIC = 0.002
+GENERIC = 0.004
+#: Titles that a word must be in, however small the table, before it is generic.
+FEW = 12
 #: Least similarity of bigrams for a sub-district, whose names are long.
 PLACE = 0.4
 WINDOW = 16
@@ -102,7 +104,7 @@ def generic_words(listings: DataFrame) -> set[str]:
     total = titles.count()
     words = titles.select(F.explode(F.array_distinct(F.split(F.lower("judul"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"] for r in counted.where(F.col("n") >= max(3, GENERIC * total)).select("word").collect()}
+    return {r["word"] for r in counted.where(F.col("n") >= max(FEW, GENERIC * total)).select("word").collect()}
 
 
 def features(listings: DataFrame, districts: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         reach = reach.withColumn("total", F.lit(float(total_tokens)))
     wanted = F.when(F.col("available") > 0, F.col("total") * F.col("target_share") / F.col("available")).otherwise(0.0)
     out = reach.withColumn("rate", F.least(wanted, F.col("max_repeats").cast("double")))
-    return out.select("source", "target_share", "max_repeats", "available", "documents", "rate", (F.col("reach") < F.col("total") * (1 - 1e-12)).alias("short"))
+    return out.select("source", "target_share", "max_repeats", "available", "documents", "rate", ((F.col("reach") < F.col("total") * (1 - 1e-12)) | (F.col("available") == 0)).alias("short"))
 
 
 def flight(p: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -156,5 +156,5 @@ def mixture(documents: DataFrame, targets: DataFrame, *, name: str = "byte_bpe_5
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("uses"), F.count("*").alias("documents_used"), F.max("copies").alias("most_copies"))
     report = wants.join(used, "source", "left").na.fill(0, ["tokens", "uses", "documents_used", "most_copies"])
     total = F.sum("tokens").over(W.partitionBy())
-    report = report.select("source", "target_share", F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"), "tokens", "uses", "documents_used", "most_copies", "short")
+    report = report.select("source", "target_share", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)).alias("actual_share"), "tokens", "uses", "documents_used", "most_copies", "short")
     return mix, report

@@ -109,6 +109,7 @@ class _Phrases:
             for v in self._less(w) if len(w) >= 5 else ():
                 self.index.setdefault(v, w)
         self.known = {*self.of, *self.script, *self.notice, *self.lorem}
+        self.longest = 1 + max(map(len, self.known))
         self.seen: dict[str, str | None] = {}
 
     @staticmethod
@@ -118,7 +119,7 @@ class _Phrases:
     def meant(self, w: str) -> str | None:
         if w in self.known:
             return w
-        if len(w) < 4:
+        if not 4 <= len(w) <= self.longest:
             return None
         if w not in self.seen:
             if len(self.seen) > 200_000:
@@ -179,7 +180,7 @@ def flagged_segments(df: DataFrame, column: str) -> DataFrame:
     counted = df.where(F.col(column).isNotNull()).select(F.explode(segments(F.col(column))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
     judged = cut_lineage(counted.mapInPandas(_judge, JUDGED))
 
-    spans = judged.select("template", F.explode(F.arrays_zip("styles", "names")).alias("s")).select("template", "s.styles", F.ltrim(F.lit("="), F.col("s.names")).alias("name"), F.startswith("s.names", F.lit("=")).alias("identifier"))
+    spans = judged.select("template", F.explode(F.arrays_zip("styles", "names")).alias("s")).select("template", "s.styles", F.ltrim(F.col("s.names"), F.lit("=")).alias("name"), F.startswith("s.names", F.lit("=")).alias("identifier"))
     strong = F.col("styles").isin(*STRONG)
     names = spans.groupBy("name").agg(F.count_distinct("styles").alias("k"), F.count_distinct("template").alias("t"), F.bool_or("identifier").alias("i"), F.bool_or(strong).alias("s"))
     variables = names.where("(k >= 2 and t >= 2) or i or s").select("name")

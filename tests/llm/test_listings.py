@@ -6,6 +6,12 @@ SCHEMA = "id string, judul string, deskripsi string, alamat string, kecamatan st
 DISTRICTS = [("Rawa Kencanti", ["rawa"]), ("Gunung Pelitasi", None)]
 
 
+@pytest.fixture(autouse=True)
+def generic(monkeypatch):
+    """Small tables have no statistics of words."""
+    monkeypatch.setattr(L, "generic_words", lambda df: {"griya", "kost", "putra", "putri", "cowok", "pria", "murah", "deluxe"})
+
+
 def found(spark, rows):
     df = spark.createDataFrame([(f"{i:03}", *r, "c", "c", "c") for i, r in enumerate(rows)] * 2, SCHEMA)
     return {(r.id_a, r.id_b) for r in L.room_pairs(df, spark.createDataFrame(DISTRICTS, "entry string, aliases array<string>")).collect()}
