@@ -164,10 +164,10 @@ def within_radius(points: DataFrame, places: DataFrame, *, key: str = "id", lat:
 
 def _by_cells(spots: DataFrame, good: DataFrame, kinds: T.StructType) -> DataFrame:
     sample = spots.select("lat", "lng").orderBy(F.xxhash64("id", "lat")).limit(SAMPLE).toPandas()
-    splits = points_splits = Splits(unit_vectors(sample["lat"].to_numpy(), sample["lng"].to_numpy()), DEPTH)
+    splits = Splits(unit_vectors(sample["lat"].to_numpy(), sample["lng"].to_numpy()), DEPTH)
 
     def cell_of(lat: pd.Series, lng: pd.Series) -> pd.Series:
-        return pd.Series(points_splits.cells(unit_vectors(lat.to_numpy(), lng.to_numpy())))
+        return pd.Series(splits.cells(unit_vectors(lat.to_numpy(), lng.to_numpy())))
 
     placed = spots.withColumn("cell", F.pandas_udf(cell_of, "int")("lat", "lng"))
     rows = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most 2^DEPTH rows
@@ -249,7 +249,7 @@ def regions_containing(points: DataFrame, regions: DataFrame, *, key: str = "id"
     def swept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         owner, names = pd.factorize(right["name"])
         p, r = sweep_regions(left["lng"].to_numpy(), left["lat"].to_numpy(), right[["x", "y", "u", "v"]].to_numpy(dtype=float), owner, len(names))
-        return pd.DataFrame({"id": left["id"].to_numpy()[p], "name": np.asarray(names)[r] if len(r) else []})
+        return pd.DataFrame({"id": left["id"].to_numpy()[p], "name": np.asarray(names, dtype=object)[r]})
 
     few = edges.limit(corners + 1).toPandas()
     if len(few) <= corners:
