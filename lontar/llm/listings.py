@@ -167,6 +167,10 @@ def _same_name(a: tuple[str, str], b: tuple[str, str]) -> bool | None:
 def _compare(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     """The pairs (a, b, weight) of rows i and j that describe one room."""
     c = {n: rows[n].to_numpy() for n in rows.columns}
+    for n in ("place_code", "tenant", "number_code"):  # most neighbours differ in one of these
+        x, y = c[n][i], c[n][j]
+        may = (x == y) | (x == 0) | (y == 0)
+        i, j = i[may], j[may]
     agree = {n: (c[n][i] == c[n][j]) & (c[n][i] != 0) for n in ("tenant", "class", "size", "place_code", "street_code", "number_code")}
     open_ = {n: (c[n][i] == 0) | (c[n][j] == 0) for n in ("tenant", "class", "size", "place_code", "street_code", "number_code")}
     ok = np.ones(len(i), dtype=bool)
