@@ -16,7 +16,8 @@ method, balanced within each source on token and document totals:
 Shares are exact up to that landing, of at most two documents a source.
 
 Total size, if not given: the largest at which the sources that cannot give their share even at max_repeats hold at
-most ``SHORT`` of the target weight. Those give all they may, and the report shows what they miss.
+most ``SHORT`` of the weight of all sources that have tokens. Those give all they may, and the report shows what they,
+and sources without any token, miss.
 
 Targets of null or non-positive weight, and sources without targets, are left out; a repeated target keeps its row
 first by (weight, repeats). Documents of null source, without tokens, or null id are never drawn.
@@ -56,8 +57,9 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     joined = share.join(have, "source", "left").na.fill(0, ["available", "documents"]).withColumn("max_repeats", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)))
     reach = joined.withColumn("reach", F.col("available") * F.col("max_repeats") / F.col("target_share"))
     if total_tokens is None:
-        below = reach.withColumn("below", F.sum("target_share").over(everything.orderBy("reach").rangeBetween(W.unboundedPreceding, W.currentRow)))
-        total = F.min(F.when(F.col("below") > SHORT, F.col("reach"))).over(everything)
+        able = reach.withColumn("able", F.when(F.col("reach") > 0, F.col("target_share")).otherwise(0.0))
+        below = able.withColumn("below", F.sum("able").over(everything.orderBy("reach").rangeBetween(W.unboundedPreceding, W.currentRow)))
+        total = F.coalesce(F.min(F.when((F.col("below") > SHORT * F.sum("able").over(everything)) & (F.col("able") > 0), F.col("reach"))).over(everything), F.lit(0.0))
         reach = below.withColumn("total", total)
     else:
         reach = reach.withColumn("total", F.lit(float(total_tokens)))
