@@ -127,7 +127,44 @@ def s05_keep_last_label(spark, folder):
     return rows.groupBy("query_id", "listing_id").agg(F.max_by("relevance", F.struct("labelled_at", "relevance")).alias("relevance"))
 
 
-QUERIES = {f.__name__: f for f in (a01_model_means, a10_majority, a11_middle_vote, a12_confusion, a21_agreement, a23_difficulty, a24_pivot, a25_label_distribution, a26_pool_sizes, t04_worst_queries, e01_e05_metrics, e07_kappa, e08_weighted_kappa, e09_paired_t, e10_signed_ranks, e10_e12_significance, e12_holm, e13_bootstrap, e24_spearman, u01_pool, j14_orphans, s05_keep_last_label)}
+def j04_three_way(spark, folder):
+    """Agreement of the first three annotators on the items that all of them labelled."""
+    votes = _votes(spark, folder)
+    one = lambda n, c: votes.where(F.col("annotator") == n).select("query_id", "doc_id", F.col("vote").alias(c))
+    all_ = one("penilai_01", "a").join(one("penilai_02", "b"), ["query_id", "doc_id"]).join(one("penilai_04", "c"), ["query_id", "doc_id"])
+    same = ((F.col("a") == F.col("b")) & (F.col("b") == F.col("c"))).cast("bigint")
+    return all_.agg(F.count("*").alias("n"), F.coalesce(F.sum(same), F.lit(0)).alias("agree"))
+
+
+def a27_out_of_range(spark, folder):
+    """Metric values that are null or outside 0..1."""
+    m = _metrics(spark, folder)
+    bad = lambda c: F.sum((F.col(c).isNull() | ~F.col(c).between(0, 1)).cast("bigint")).alias(c)
+    return m.agg(*(bad(c) for c in ("p_at_5", "p_at_10", "ap", "ndcg_at_10", "rr")))
+
+
+def e29_drill_down(spark, folder):
+    """One query's metrics by model."""
+    return _rounded(_metrics(spark, folder).where("query_id = 'q001'"), "ap", "rr").select("model", "ap", "rr")
+
+
+def s07_unpivot(spark, folder):
+    """Means per model of a wide table of average precisions."""
+    from lontar.sources.readers import unpivot_models
+
+    wide = a24_pivot(spark, folder)
+    wide = wide.select(*(F.col(c).alias(c if c == "query_id" else f"cs_at_5_{c}") for c in wide.columns))
+    return _rounded(unpivot_models(wide), "mean")
+
+
+def u02_candidates(spark, folder):
+    """The union of two candidate sets, the greater score kept: votes and the published consensus."""
+    a = _votes(spark, folder).select("query_id", "doc_id", F.col("vote").alias("score"))
+    b = table(spark, folder, "relevance_consensus").select("query_id", F.col("listing_id").alias("doc_id"), F.col("relevance").alias("score"))
+    return a.unionByName(b).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (a01_model_means, a10_majority, a11_middle_vote, a12_confusion, a21_agreement, a23_difficulty, a24_pivot, a25_label_distribution, a26_pool_sizes, t04_worst_queries, e01_e05_metrics, e07_kappa, e08_weighted_kappa, e09_paired_t, e10_signed_ranks, e10_e12_significance, e12_holm, e13_bootstrap, e24_spearman, u01_pool, u02_candidates, j04_three_way, j14_orphans, a27_out_of_range, e29_drill_down, s05_keep_last_label, s07_unpivot)}
 
 _V = """votes as (select query_id, listing_id as doc_id, lower(trim(annotator)) as annotator, arg_max(relevance, struct_pack(t := labelled_at, r := relevance)) as vote
   from relevance_labels where relevance in (0, 1, 2) group by all),
@@ -180,4 +217,10 @@ ORACLE = {
     "j14_orphans": """select 'listing' as missing, count(*) as n from relevance_labels where listing_id not in (select id from listings)
         union all select 'query', count(*) from relevance_labels where query_id not in (select id from queries)""",
     "s05_keep_last_label": "select query_id, listing_id, arg_max(relevance, struct_pack(t := labelled_at, r := relevance)) as relevance from relevance_labels where relevance in (0, 1, 2) group by all",
+    "j04_three_way": f"""with {_V} select count(*) as n, count(*) filter (a.vote = b.vote and b.vote = c.vote) as agree from votes a join votes b using (query_id, doc_id) join votes c using (query_id, doc_id)
+        where a.annotator = 'penilai_01' and b.annotator = 'penilai_02' and c.annotator = 'penilai_04'""",
+    "a27_out_of_range": f"{_M} select " + ", ".join(f"count(*) filter ({c} is null or not {c} between 0 and 1) as {c}" for c in ("p_at_5", "p_at_10", "ap", "ndcg_at_10", "rr")) + " from m",
+    "e29_drill_down": f"{_M} select model, round(ap, 6) as ap, round(rr, 6) as rr from m where query_id = 'q001'",
+    "s07_unpivot": f"{_M} select model, round(avg(round(ap, 6)), 6) as mean from m where model in ('penilai_01', 'penilai_02', 'penilai_03') group by model",
+    "u02_candidates": f"with {_V} select query_id, doc_id, max(s) as score from (select query_id, doc_id, vote as s from votes union all select query_id, listing_id, relevance from relevance_consensus) group by all",
 }
