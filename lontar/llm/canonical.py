@@ -96,10 +96,11 @@ def entered_values(listings: DataFrame) -> DataFrame:
     return rows.select("id", "v.*").where(~blank(F.col("raw_value")))
 
 
-def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDIDATE) -> DataFrame:
+def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDIDATE, shortened: bool = True) -> DataFrame:
     """(field_name, raw_value, entry) for distinct ``values`` (field_name, raw_value), by the list ``canonical``
     (field_name, entry, aliases). ``canonical`` is a reference list and may have null or empty aliases. ``candidate`` is the
-    least similarity of bigrams at which an entry is considered; long names need less leeway than short ones."""
+    least similarity of bigrams at which an entry is considered; long names need less leeway than short ones. Without
+    ``shortened``, abbreviated words are not read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,7 +112,7 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
             rows = []
             for f, e, aliases in zip(pdf["field_name"], pdf["entry"], pdf["aliases"]):
                 full = {tight(e), *(tight(a) for a in (aliases if aliases is not None else ()) if a)} - {""}
-                rows += [(f, e, x, 0) for x in full] + [(f, e, x, 1) for x in abbreviations(e) - full]
+                rows += [(f, e, x, 0) for x in full] + [(f, e, x, 1) for x in (abbreviations(e) - full if shortened else ())]
             yield pd.DataFrame(rows, columns=["field_name", "entry", "form", "short"])
 
     shape = "field_name string, raw_value string, form string"

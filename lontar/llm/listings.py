@@ -39,7 +39,7 @@ from lontar.runtime import bounded_broadcast, cut_lineage
 GENERIC = 0.004
 #: Titles that a word must be in, however small the table, before it is generic.
 FEW = 12
-#: Least similarity of bigrams for a sub-district, whose names are long.
+#: Least similarity of bigrams for a sub-district, whose names are long. Abbreviated ones are left to the other texts.
 PLACE = 0.4
 WINDOW = 16
 
@@ -112,7 +112,7 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
     fields = ["id", "judul", "deskripsi", "alamat", "kecamatan", "tipe", "harga_per_bulan"]
     rows = listings.where(F.col("id").isNotNull()).select(*fields)
     raw = rows.select(F.lit("kecamatan").alias("field_name"), F.col("kecamatan").alias("raw_value")).where(~canonical.blank(F.col("raw_value"))).distinct()
-    places = cut_lineage(canonical.map_values(cut_lineage(raw), districts.select(F.lit("kecamatan").alias("field_name"), "entry", "aliases"), PLACE))
+    places = cut_lineage(canonical.map_values(cut_lineage(raw), districts.select(F.lit("kecamatan").alias("field_name"), "entry", "aliases"), PLACE, shortened=False))
     places = places.where(F.col("entry") != canonical.UNMATCHED).select(F.col("raw_value").alias("kecamatan"), F.col("entry").alias("place"))
     known = [r["entry"] for r in districts.select("entry").dropna().distinct().collect()]  # the reference list
     generic = generic_words(rows)
