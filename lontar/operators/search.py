@@ -9,7 +9,8 @@ The queries are a small set; listings may be many, and pass through map-side sco
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -39,6 +40,53 @@ def aliases(gazetteer: DataFrame) -> DataFrame:
     return good.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"), "name", "lat", "lng").select(F.lower("alias").alias("alias"), "name", "lat", "lng").where("alias <> ''").distinct()
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the longest of ``words`` at a position, by shared beginnings."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        ways = [re.escape(c) + write(n) for c, n in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return one + ("?" if "" in node else "")
+
+    return write(root)
+
+
+def mention_counts(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, n): how many rows of ``texts`` (text) contain the name or any alias of a place (name, aliases), anywhere and
+    in any letter case. A row counts once for a name; an alias that several places share counts for each of them.
+
+    The forms (a reference list) go to every task as one trie; it is tried at every position, and a form that it finds
+    brings along the forms that begin it. So a text is read once, however many places there are, and no text is shuffled.
+    """
+    forms = places.where(F.col("name").isNotNull()).select(F.lower("name").alias("name"), F.explode(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("form"))
+    owners: dict[str, set[str]] = {}
+    for r in forms.select("name", F.lower("form").alias("form")).where("form <> ''").distinct().collect():
+        owners.setdefault(r["form"], set()).add(r["name"])
+    meant = {f: frozenset().union(*(owners.get(f[:n], ()) for n in range(1, len(f) + 1))) for f in owners}
+    pattern = f"(?=({_trie(sorted(owners))}))" if owners else r"(?!)()"
+    shared = texts.sparkSession.sparkContext.broadcast((pattern, meant))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern, meant = shared.value
+        find = re.compile(pattern).findall
+        for pdf in batches:
+            n = Counter()
+            for text in pdf["text"]:
+                n.update(set().union(*(meant[f] for f in set(find(text)))))
+            yield pd.DataFrame({"name": list(n.keys()), "n": list(n.values())}).astype({"n": "int64"})
+
+    low = texts.where(F.col("text").isNotNull()).select(F.lower("text").alias("text"))
+    return low.mapInPandas(run, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+
+
 def anchors(queries: DataFrame, gazetteer: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(query_id, anchor, anchor_lat, anchor_lng): the place a query names, by its longest alias between blanks; the place
     first by name among equals. Else, with ``fuzzy``, the best match of a word to a one-word alias by the ratio of

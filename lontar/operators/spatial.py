@@ -50,6 +50,12 @@ def unit_vectors(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
 
 
+def haversine(lat_a: np.ndarray, lng_a: np.ndarray, lat_b: np.ndarray, lng_b: np.ndarray) -> np.ndarray:
+    """``haversine_km`` of arrays."""
+    a = np.sin(np.radians(lat_b - lat_a) / 2) ** 2 + np.cos(np.radians(lat_a)) * np.cos(np.radians(lat_b)) * np.sin(np.radians(lng_b - lng_a) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+
+
 def chord(km: np.ndarray) -> np.ndarray:
     return 2 * np.sin(np.minimum(km / EARTH_KM, np.pi) / 2)
 
@@ -120,6 +126,36 @@ class BallTree:
         none = np.zeros(0, dtype=int)
         return (np.concatenate(points), np.concatenate(balls)) if points else (none, none)
 
+    def nearest(self, v: np.ndarray, lat: np.ndarray, lng: np.ndarray, places: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, km) nearest to every point: kilometres at six decimals, the smaller ``rank`` among equals. ``places``
+        holds latitude and longitude of the centres; branches farther than the best so far are not entered."""
+        who, km = np.full(len(v), -1), np.full(len(v), np.inf)
+
+        def gap(node: tuple, at: np.ndarray) -> np.ndarray:
+            return np.sqrt((np.maximum(np.maximum(node[0][0] - v[at], v[at] - node[0][1]), 0) ** 2).sum(axis=1))
+
+        def visit(node: tuple, at: np.ndarray) -> None:
+            at = at[gap(node, at) <= chord(km[at] + 1e-5) + 1e-9]
+            if not len(at):
+                return
+            _, own, children = node
+            if children:
+                left = gap(children[0], at) <= gap(children[1], at)
+                for child, part in ((children[0], at[left]), (children[1], at[~left]), (children[1], at[left]), (children[0], at[~left])):
+                    visit(child, part)
+                return
+            own = own[np.argsort(rank[own], kind="stable")]
+            if not len(own):
+                return
+            far = np.round(haversine(lat[at, None], lng[at, None], places[None, own, 0], places[None, own, 1]), 6)
+            first = far.argmin(axis=1)
+            d, b = far[np.arange(len(at)), first], own[first]
+            better = (d < km[at]) | (d == km[at]) & (rank[b] < rank[who[at]])
+            who[at[better]], km[at[better]] = b[better], d[better]
+
+        visit(self.root, np.arange(len(v)))
+        return who, km
+
 
 def _located(df: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
     """One row for each key and usable position, rows of one key side by side."""
@@ -199,6 +235,38 @@ def neighbours_within(points: DataFrame, km: float, *, key: str = "id", lat: str
     return within_radius(points, centres, key=key, lat=lat, lng=lng, balls=balls).where(F.col("id") != F.col("name")).withColumnRenamed("name", "near")
 
 
+def nearest_place(points: DataFrame, places: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", balls: int = BALLS) -> DataFrame:
+    """(id, name, km): for every id the nearest of all ``places`` (name, lat, lng), at six decimals, by name among equals.
+
+    Places go to the tasks in blocks of ``balls``, so their number is not bounded; the best of an id's positions and blocks
+    is an aggregate with map-side combine.
+    """
+    spots = points.where(usable(F.col(lat), F.col(lng)) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
+    good = places.where(usable(F.col("lat"), F.col("lng")) & F.col("name").isNotNull()).select("name", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).distinct()
+    blocks = -(-good.count() // balls)
+    kinds = T.StructType([T.StructField("id", spots.schema["id"].dataType), T.StructField("name", T.StringType()), T.StructField("km", T.DoubleType())])
+    found = None
+    for k in range(blocks):
+        part = good.where(F.pmod(F.xxhash64("name", "lat", "lng"), F.lit(blocks)) == k).orderBy("name").toPandas()
+        if not len(part):
+            continue
+        shared = points.sparkSession.sparkContext.broadcast((part["name"].to_numpy(), part[["lat", "lng"]].to_numpy(dtype=float)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, numbers = shared.value
+            tree, rank = BallTree(unit_vectors(numbers[:, 0], numbers[:, 1]), np.zeros(len(names))), np.arange(len(names))
+            for pdf in batches:
+                a, b = pdf["lat"].to_numpy(), pdf["lng"].to_numpy()
+                who, km = tree.nearest(unit_vectors(a, b), a, b, numbers, rank)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "name": names[who], "km": km})
+
+        one = spots.mapInPandas(run, kinds)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return points.sparkSession.createDataFrame([], kinds)
+    return found.groupBy("id").agg(F.min(F.struct("km", "name")).alias("m")).select("id", "m.name", "m.km")
+
+
 def sweep_regions(x: np.ndarray, y: np.ndarray, edges: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(point, region) by a plane sweep from west to east.
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lontar.functions import text as X
 from lontar.operators import quality as Q
-from lontar.operators.spatial import haversine_km, usable
+from lontar.operators.search import mention_counts
+from lontar.operators.spatial import haversine_km, nearest_place, usable, within_radius
 from lontar.runtime import table
 
 _CORE = ("id", "judul", "harga_per_bulan", "tipe", "kecamatan", "source")
@@ -99,24 +100,20 @@ def j03_anti(spark, folder):
     return _latest(spark, folder).join(labelled, "id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
 
 
-def _campuses(spark, folder):
-    """The first 20 places by name that have a usable position: a small fixed side."""
-    return table(spark, folder, "gazetteer").where(usable(F.col("lat"), F.col("lng"))).orderBy("name").limit(20).select("name", "lat", "lng")
+def _located(spark, folder):
+    return _latest(spark, folder).select("id", "koordinat_lat", "koordinat_lng")
 
 
 def j08_nearest(spark, folder):
-    """The nearest of 20 places for every listing, by name among equals."""
-    rows = _latest(spark, folder).where(usable(F.col("koordinat_lat"), F.col("koordinat_lng"))).select("id", "koordinat_lat", "koordinat_lng")
-    km = F.round(haversine_km(F.col("koordinat_lat"), F.col("koordinat_lng"), F.col("lat"), F.col("lng")), 6)
-    far = rows.join(F.broadcast(_campuses(spark, folder))).withColumn("km", km)
-    return far.groupBy("id").agg(F.min(F.struct("km", "name")).alias("m")).select("id", "m.name", F.round("m.km", 2).alias("km"))
+    """The nearest of all places for every listing, by name among equals."""
+    near = nearest_place(_located(spark, folder), table(spark, folder, "gazetteer"), lat="koordinat_lat", lng="koordinat_lng")
+    return near.select("id", "name", F.round("km", 2).alias("km"))
 
 
 def j09_within(spark, folder):
-    rows = _latest(spark, folder).where(usable(F.col("koordinat_lat"), F.col("koordinat_lng"))).select("id", "koordinat_lat", "koordinat_lng")
-    km = haversine_km(F.col("koordinat_lat"), F.col("koordinat_lng"), F.col("lat"), F.col("lng"))
-    box = F.abs(F.col("koordinat_lat") - F.col("lat")) <= 2.0 / 111
-    return rows.join(F.broadcast(_campuses(spark, folder)), box & (km <= 2)).groupBy("name").agg(F.count("*").alias("n"))
+    """Listings within 2 km of every place that has any."""
+    places = table(spark, folder, "gazetteer").withColumn("radius_km", F.lit(2.0))
+    return within_radius(_located(spark, folder), places, lat="koordinat_lat", lng="koordinat_lng").groupBy("name").agg(F.count("*").alias("n"))
 
 
 def x24_haversine(spark, folder):
@@ -136,10 +133,8 @@ def a06_top_facilities(spark, folder):
 
 
 def a07_mentions(spark, folder):
-    """Listings whose description names a place, by any alias of the first 20."""
-    names = _campuses(spark, folder).select(F.lower("name").alias("name"))
-    texts = _latest(spark, folder).select(F.lower("deskripsi").alias("t"))
-    return texts.join(F.broadcast(names), F.contains("t", "name")).groupBy("name").agg(F.count("*").alias("n"))
+    """Listings whose description names a place, by its name or any alias; a place needs no position for that."""
+    return mention_counts(_latest(spark, folder).select(F.col("deskripsi").alias("text")), table(spark, folder, "gazetteer"))
 
 
 def a08_describe(spark, folder):

@@ -12,6 +12,7 @@ from lontar.operators import quality as Q
 from lontar.operators import ranking as R
 from lontar.operators import search as S
 from lontar.operators import spatial as P
+from lontar.plans import quality
 from lontar.sources import pages, readers, sinks
 from lontar.streaming import limiter
 
@@ -132,6 +133,45 @@ def test_within_radius(spark):
     assert P.within_radius(points.limit(0), df, balls=5).count() == 0 and P.within_radius(points, df.limit(0)).count() == 0
 
 
+def written(spark, folder, gazetteer, listings):
+    """Tables for the registered queries of places and listings."""
+    spark.createDataFrame(gazetteer, "name string, lat double, lng double, aliases array<string>, source string, radius_km double").write.parquet(f"{folder}/gazetteer.parquet")
+    shape = "id string, judul string, deskripsi string, harga_per_bulan bigint, tipe string, fasilitas array<string>, alamat string, kecamatan string, koordinat_lat double, koordinat_lng double, source string, inserted_at timestamp, scrape_date date, batch_id string"
+    rows = [(id_, None, text, None, None, None, None, None, lat, lng, "s", None, None, "b") for id_, text, lat, lng in listings]
+    spark.createDataFrame(rows, shape).write.parquet(f"{folder}/listings.parquet")
+    return str(folder)
+
+
+def test_all_places_count(spark, tmp_path):
+    """Nearest place, places within 2 km and mentions against brute force, over far more than 20 places."""
+    rng = random.Random(6)
+    spot = lambda: (round(rng.uniform(-5.6, -5.2), 5), round(rng.uniform(105.0, 105.4), 5))
+    gazetteer = [(f"place {i:03}", *spot(), [f"alias{i % 70}", f"ias{i % 9} x"], "s", 1.0) for i in range(150)]
+    gazetteer += [("twin b", -5.1, 105.1, None, "s", 1.0), ("twin a", -5.1, 105.1, [None, "", "TwA"], "s", 1.0), ("nowhere", None, 105.2, ["nw"], "s", 1.0), ("bad", 95.0, 105.2, None, "s", 1.0)]
+    texts = [f"dekat Place {rng.randrange(150):03} dan alias{rng.randrange(70)} x twatwa" for _ in range(300)] + ["NW", "", None, "place 00", "alias6"]
+    listings = [(f"l{i:03}", t, *spot()) for i, t in enumerate(texts)] + [("twin", None, -5.1, 105.11), ("null", None, None, 105.0)]
+    folder = written(spark, tmp_path, gazetteer, listings)
+    far = lambda a, b, c, d: 2 * 6371 * math.asin(min(1, math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2)))
+    good = [g for g in gazetteer if g[1] is not None and abs(g[1]) <= 90]
+    spots = [x for x in listings if x[2] is not None]
+
+    best = {x[0]: min((round(far(x[2], x[3], g[1], g[2]), 6), g[0]) for g in good) for x in spots}
+    got = {r.id: (r.name, r.km) for r in quality.j08_nearest(spark, folder).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (_, n) in best.items()} and got["twin"][0] == "twin a"
+    assert all(km == pytest.approx(best[i][0], abs=0.0051) for i, (_, km) in got.items())
+    points = spark.createDataFrame([(x[0], x[2], x[3]) for x in listings], "id string, lat double, lng double")
+    few = P.nearest_place(points, spark.createDataFrame([g[:3] for g in gazetteer], "name string, lat double, lng double"), balls=40).collect()
+    assert {r.id: (r.km, r.name) for r in few} == best
+
+    near = {g[0]: sum(far(x[2], x[3], g[1], g[2]) <= 2 for x in spots) for g in good}
+    assert {r.name: r.n for r in quality.j09_within(spark, folder).collect()} == {g: n for g, n in near.items() if n}
+
+    forms = {g[0]: {f.lower() for f in [g[0], *(g[3] or [])] if f} for g in gazetteer}
+    told = {g: sum(t is not None and any(f in t.lower() for f in fs) for t in texts) for g, fs in forms.items()}
+    got = {r.name: r.n for r in quality.a07_mentions(spark, folder).collect()}
+    assert got == {g: n for g, n in told.items() if n} and got["nowhere"] == 1
+
+
 def test_regions(spark):
     rng = random.Random(4)
     points = [(str(i), rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(500)]
