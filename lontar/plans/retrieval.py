@@ -1,5 +1,6 @@
 """Registered queries of the rankers: all queries against all documents."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lontar.functions import text as X
@@ -36,9 +37,14 @@ def r03_dense(spark, folder):
 
 
 def r04_hybrid(spark, folder):
-    """A document's vector is that of its id modulo 500, a query's that of its number."""
-    v = table(spark, folder, "embeddings").where("vec_id < 500")
-    docs = _docs(spark, folder).withColumn("vec_id", F.col("doc_id") % 500).join(v.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    """All vectors, in the order of their ids, are dealt to the documents by id; a query's vector is that of its number."""
+    v = table(spark, folder, "embeddings")
+    ids = v.select("vec_id").distinct()
+    count = ids.count()
+    # ids only, without their vectors, pass through the single partition of this window
+    place = ids.select("vec_id", (F.row_number().over(W.orderBy("vec_id")) - 1).cast("bigint").alias("place"))
+    dealt = v.join(place, "vec_id").select("place", F.col("embedding").alias("vector"))
+    docs = _docs(spark, folder).withColumn("place", F.pmod(F.col("doc_id"), F.lit(max(count, 1)))).join(dealt, "place")
     asked = _queries(spark, folder).withColumn("vec_id", F.regexp_extract("query_id", "[0-9]+", 0).cast("bigint"))
     vectors = asked.join(v, "vec_id").select("query_id", F.col("embedding").alias("vector"))
     lexical = R.bm25(docs, asked, None, index=R.bm25_index(_docs(spark, folder)))

@@ -12,7 +12,7 @@ from lontar.operators import quality as Q
 from lontar.operators import ranking as R
 from lontar.operators import search as S
 from lontar.operators import spatial as P
-from lontar.plans import quality
+from lontar.plans import quality, retrieval
 from lontar.sources import pages, readers, sinks
 from lontar.streaming import limiter
 
@@ -83,6 +83,16 @@ def listing(id_, tipe="putri", harga=800_000, lat=-5.37, lng=105.244, kecamatan=
     return (id_, judul, deskripsi, harga, tipe, ["ac", "wifi"], kecamatan, lat, lng)
 
 
+def test_hybrid_reads_all_vectors(spark, tmp_path):
+    """700 vectors with gaps between their ids: only that of place 650 is like the query's, so its document is first."""
+    vectors = [(3 * i, [1.0, 0.0] if i in (1, 650) else [0.0, 1.0]) for i in range(700)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "kos") for i in (2, 150, 650, 699, 702)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q003", "kos")], "id string, query_text string").write.parquet(f"{tmp_path}/queries.parquet")
+    got = retrieval.r04_hybrid(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [650, 2, 150, 699, 702] and [r.score for r in got] == [0.1, 0, 0, 0, 0]
+
+
 @pytest.fixture
 def places(spark):
     return spark.createDataFrame([("universitas lampung", -5.3645, 105.2434, ["unila"], "x", 1.0)], "name string, lat double, lng double, aliases array<string>, source string, radius_km double")
