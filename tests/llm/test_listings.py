@@ -37,6 +37,15 @@ def test_one_room_in_other_words(spark):
     assert found(spark, rows) == {("000", "001"), ("000", "002"), ("001", "002")}
 
 
+def test_abbreviated_districts_are_places(spark):
+    """A sub-district is read however it is shortened, with no other text to name it: houses of one name stay apart."""
+    listings = spark.createDataFrame([(str(i), "Kos", "", None, k, None, None) for i, k in enumerate(("gn. pelitasi", "Gng Pelitasi", "Rwa Kencanti", "Kec. gn pelitasi"))], "id string, judul string, deskripsi string, alamat string, kecamatan string, tipe string, harga_per_bulan bigint")
+    read = {r.id: r.place for r in L.features(listings, spark.createDataFrame(DISTRICTS, "entry string, aliases array<string>")).collect()}
+    assert read == {"0": "Gunung Pelitasi", "1": "Gunung Pelitasi", "2": "Rawa Kencanti", "3": "Gunung Pelitasi"}
+    same = ("Kos putra Tilonilwi Jaretur std", "Luas 3x4 m.", None)
+    assert found(spark, [(*same, "gn. pelitasi", "putra", 800_000), (*same, "Rawa Kencanti", "putra", 800_000)]) == set()
+
+
 def test_many_copies_are_one_row(spark):
     rows = [("Kos putra Tilonilwi Jaretur std", "Luas 3x4 m.", None, "Rawa Kencanti", "putra", 800_000)] * 60
     assert len(found(spark, rows)) == 60 * 59 // 2
