@@ -12,8 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast; at about a hundred bytes a row this stays under 20 MB.
-BROADCAST_ROWS = 200_000
+#: Bytes, as files, that a side may have to be broadcast. Columns of Parquet may take several times that in memory.
+BROADCAST_BYTES = 8 << 20
+#: Nodes of a plan over which Spark knows the bytes of its files, or at least no fewer.
+_SIZED = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD"}
 
 
 _shipped: set[str] = set()
@@ -40,10 +42,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir where the cluster names one, else (in local tests) our own."""
+    """A folder that all executors share: spark.checkpoint.dir where the cluster names one. Only a local session, whose
+    executors are the driver, gets a folder of our own; elsewhere a missing setting is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lontar-")
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
@@ -73,9 +78,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, to be joined by a shuffle.
+def file_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, if it does no more than choose of their rows and columns; else None."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in _SIZED:
+            return None
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return int(str(plan.stats().sizeInBytes()))
 
-    Counting stops beyond the bound. ``df`` should be cheap to read twice, such as a written table.
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its files have at most ``most`` bytes; else as it is, to be joined by a shuffle.
+
+    What is not read straight from files is written first (``cut_lineage``), so that its size is known, not guessed.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = file_bytes(df)
+    if size is None:
+        df = cut_lineage(df)
+        size = file_bytes(df)
+    return F.broadcast(df) if size is not None and size <= most else df
