@@ -6,9 +6,9 @@
    ``u_i^2 = m_ij m_ik / m_jk``; the median over all triplets is the annotator's skill, its sign that of the mean
    agreement with the others.
 3. Votes are combined with log-odds weights, ``log((K - 1) accuracy / (1 - accuracy))``.
-4. Annotators err in their own ways (one rates a grade too high, one always the same), so the weights of each single
-   vote are then read off the step before: the log-odds of a true label given annotator and vote, estimated from the
-   probabilities that the weighted votes gave, ``ROUNDS`` times over.
+4. ``rounds`` of the consensus, 0 unless asked for, go on from there: annotators err in their own ways (one rates a grade
+   too high, one always the same), so the weights of each single vote are read off the step before, as the log-odds of a
+   true label given annotator and vote. That is another method, and a result of its own.
 
 Annotators are people: tables with one row an annotator, pair or triplet of annotators are small. The votes, however
 many, are only ever grouped by item or by (annotator, vote).
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from lontar.runtime import bounded_broadcast, cut_lineage
 
-ROUNDS = 2
 #: Items that two annotators must share before their rate of agreement counts.
 SHARED = 5
 LEAST, MOST = 0.02, 0.98
@@ -74,7 +73,7 @@ def reliability(ballots: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: t
     return told.select("annotator", "votes", F.coalesce("shared", F.lit(0)).alias("shared"), "mean_agreement", accuracy.alias("accuracy"), F.log((k - 1) * accuracy / (1 - accuracy)).alias("weight"))
 
 
-def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tuple[str, ...] = ("query_id", "listing_id")) -> DataFrame:
+def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tuple[str, ...] = ("query_id", "listing_id"), rounds: int = 0) -> DataFrame:
     """(*item, relevance, n_annotators, agreement, confidence): one row an item with a valid label.
 
     agreement is the share of the item's annotators who voted for the consensus, confidence its probability under the
@@ -95,7 +94,7 @@ def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tupl
 
     flat = [1 / len(grades)] * len(grades)
     found = cut_lineage(shares(scored, flat))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         voted = ballots.join(found.select(*keys, "p"), keys)
         seen = voted.groupBy("annotator", "vote").agg(*(F.sum(F.col("p")[k]).alias(f"t{k}") for k in range(len(grades))))
         seen = cut_lineage(seen)

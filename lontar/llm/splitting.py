@@ -16,10 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lontar.llm.tokens import CHUNK, FOLDER, OVERLAP, decode, encode, tokenizer
+from lontar.runtime import cut_lineage
 
 #: Tokens that a piece may gain when it is encoded alone.
 SLACK = 4
@@ -39,17 +40,19 @@ def cut_pattern(max_tokens: int, overlap_tokens: int) -> str:
     return "|".join([*ways("^", most), *ways("", rest)])
 
 
-def _spans(classes: Column, overlap: int) -> Column:
-    """array<struct<start, stop, fresh>>, zero-based: the tokens of each piece and where its own, not shared ones begin."""
-    own = F.transform(F.col("own"), F.length)
-    ends = F.aggregate(own, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    fresh, stop = F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1)
+def _spans(long: DataFrame, overlap: int) -> DataFrame:
+    """``long`` (row, own, classes and more) with spans, array<struct<start, stop, fresh>>, zero-based: the tokens of each
+    piece and where its own, not shared ones begin. Running sums go over one row a piece, without the texts."""
+    sizes = long.select("row", F.posexplode(F.transform("own", F.length)).alias("k", "n"))
+    stop = F.sum("n").over(W.partitionBy("row").orderBy("k"))
+    ends = sizes.select("row", "k", stop.alias("stop"), (stop - F.col("n")).alias("fresh")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "fresh", "stop"))).alias("ends"))
 
     def back(f: Column) -> Column:
-        at = F.greatest(f - overlap, F.lit(0))
-        return at - F.length(F.regexp_extract(F.substr(classes, F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))), "o*$", 0))
+        at = F.greatest(f - overlap, F.lit(0)).cast("int")
+        return at - F.length(F.regexp_extract(F.substr("classes", F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))), "o*$", 0))
 
-    return F.transform(F.arrays_zip(fresh.alias("fresh"), stop.alias("stop")), lambda x: F.struct(F.greatest(back(x.fresh), F.lit(0)).alias("start"), x.stop.alias("stop"), x.fresh.alias("fresh")))
+    spans = F.transform("ends", lambda x: F.struct(F.greatest(back(x.fresh), F.lit(0)).cast("int").alias("start"), x.stop.cast("int").alias("stop"), x.fresh.cast("int").alias("fresh")))
+    return long.join(ends, "row").withColumn("spans", spans)
 
 
 def oversized(df: DataFrame, max_tokens: int, name: str, *, key: str = "doc_id", text: str = "text", folder: str = FOLDER) -> DataFrame:
@@ -57,11 +60,6 @@ def oversized(df: DataFrame, max_tokens: int, name: str, *, key: str = "doc_id",
     return df.where(F.octet_length(text) > max_tokens) if name.startswith("byte_") else df
 
 
-def oversized_ids(df: DataFrame, max_tokens: int, name: str, *, key: str = "doc_id", text: str = "text", folder: str = FOLDER) -> DataFrame:
-    """(key): the rows with more than ``max_tokens`` tokens. Null and empty texts have none."""
-    return encode(oversized(df, max_tokens, name, text=text), name, key=key, text=text, folder=folder, want="count").where(F.col("n_tokens") > max_tokens).select(key)
-
-
 def split(df: DataFrame, max_tokens: int, overlap_tokens: int, name: str, *, key: str = "doc_id", text: str = "text", folder: str = FOLDER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Every text longer than ``max_tokens`` as consecutive pieces.
 
@@ -70,8 +68,9 @@ def split(df: DataFrame, max_tokens: int, overlap_tokens: int, name: str, *, key
     joined are the text. Needs a byte-level vocabulary.
     """
     coded = encode(oversized(df, max_tokens, name, text=text), name, key=key, text=text, folder=folder, want="classes", chunk=chunk, overlap=overlap)
-    long = coded.where(F.size("ids") > max_tokens).withColumn("own", F.regexp_extract_all("classes", F.lit(cut_pattern(max_tokens, overlap_tokens)), F.lit(0)))
-    spans = long.select(key, "ids", F.posexplode(_spans(F.col("classes"), overlap_tokens)).alias("piece_no", "s"))
+    long = cut_lineage(coded.where(F.size("ids") > max_tokens).withColumn("row", F.monotonically_increasing_id()))
+    long = long.withColumn("own", F.regexp_extract_all("classes", F.lit(cut_pattern(max_tokens, overlap_tokens)), F.lit(0)))
+    spans = _spans(long, overlap_tokens).select(key, "ids", F.posexplode("spans").alias("piece_no", "s"))
     parts = spans.select(key, "piece_no", F.slice("ids", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("ids"), F.col("s.start").alias("start_token"), (F.col("s.fresh") - F.col("s.start")).alias("shared_tokens"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,3 +93,8 @@ def split(df: DataFrame, max_tokens: int, overlap_tokens: int, name: str, *, key
             yield pd.concat([pdf[[key, "piece_no"]].reset_index(drop=True), out], axis=1)
 
     return parts.mapInPandas(read, f"{key} {dict(df.dtypes)[key]}, piece_no int, start_token int, n_tokens int, shared_tokens int, text string")
+
+
+def oversized_ids(df: DataFrame, max_tokens: int, name: str, overlap_tokens: int = 0, *, key: str = "doc_id", text: str = "text", folder: str = FOLDER) -> DataFrame:
+    """(key): the rows that come out in pieces, of which every one has two at least. Null and empty texts have none."""
+    return split(df, max_tokens, overlap_tokens, name, key=key, text=text, folder=folder).where("piece_no = 1").select(key).distinct()
