@@ -1,15 +1,13 @@
 """Points near other points or regions, on the sphere.
 
 Places are balls: a centre and a radius. Coordinates become three-dimensional unit vectors, where "within r km" is
-"within a chord of 2 sin(r / 2R)", so neither poles nor the date line are special. Two physical plans:
+"within a chord of 2 sin(r / 2R)", so neither poles nor the date line are special. There is one plan, whatever the sizes:
+space is cut by k-d splits fitted on a bounded sample of points, as deep as the counted points need. Points go to their
+cell, balls to every cell they reach into (the halo copies), and each cell joins locally, by a k-d tree over its balls.
+Cells that hold more than ``CELL_ROWS`` points all the same are salted: their points are dealt out, their balls copied.
+A batch of points descends the tree together, so that Python works on arrays, not on points.
 
-* Few places (their number is counted first, up to ``BALLS``): the tree over the balls goes to every task, and the
-  points, however many, are not shuffled at all.
-* Many places: space is cut by k-d splits fitted on a bounded sample of points. Points go to their cell, balls to
-  every cell they reach into (the halo copies), and each cell joins locally. Cells that hold more than ``CELL_ROWS``
-  points are salted: their points are dealt out, their balls copied.
-
-Either way a batch of points descends the local tree together, so that Python works on arrays, not on points.
+Regions are polygons: points and edges go to strips of longitude, and a plane sweep passes over each strip.
 
 A null or not-a-number coordinate, a latitude beyond 90 degrees, or a null or negative radius is no case.
 """
@@ -24,14 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lontar.runtime import cut_lineage
+
 EARTH_KM = 6371.0
-#: Places that may be sent to every task (40 bytes each, and their name).
+#: Places that ``nearest_place`` sends to the tasks at a time (40 bytes each, and their name).
 BALLS = 100_000
 #: Points that fit the splits; a bound on what the driver holds, not on what is joined.
 SAMPLE = 50_000
 #: Points of a cell that one task takes.
-CELL_ROWS = 200_000
-DEPTH = 8
+CELL_ROWS = 50_000
+#: Levels of the splits: 2^14 cells of CELL_ROWS points are 800 million; cells beyond are salted.
+DEEPEST = 14
 LEAF = 16
 
 
@@ -164,75 +165,85 @@ def _located(df: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
     return spots.select("id", F.explode("spots").alias("s")).select("id", "s.lat", "s.lng")
 
 
-def within_radius(points: DataFrame, places: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", balls: int = BALLS) -> DataFrame:
+def within_radius(points: DataFrame, places: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, name): every id of ``points`` and place with a distance of at most the place's ``radius_km``, once.
 
     ``points`` has ``key``, ``lat``, ``lng``; ``places`` has name, lat, lng, radius_km. Other columns do not matter.
-    An id with several positions counts wherever one of them lies. ``balls`` bounds what may be sent to every task.
+    An id with several positions counts wherever one of them lies.
     """
-    spots = _located(points, key, lat, lng)
+    spots = cut_lineage(_located(points, key, lat, lng))
     good = places.where(usable(F.col("lat"), F.col("lng")) & F.col("name").isNotNull() & (F.col("radius_km") >= 0)).select("name", "lat", "lng", "radius_km").distinct()
     kinds = T.StructType([T.StructField("id", spots.schema["id"].dataType), T.StructField("name", places.schema["name"].dataType)])
-    few = good.limit(balls + 1).toPandas()
-    if len(few) <= balls:
-        shared = points.sparkSession.sparkContext.broadcast((few["name"].to_numpy(), few[["lat", "lng", "radius_km"]].to_numpy(dtype=float)))
+    placed, halo = _cells(spots, good, cell_rows)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, numbers = shared.value
-            tree = BallTree(unit_vectors(numbers[:, 0], numbers[:, 1]), chord(numbers[:, 2]))
-            last, seen = None, set()
-            for pdf in batches:
-                p, b = tree.query(unit_vectors(pdf["lat"].to_numpy(), pdf["lng"].to_numpy()))
-                found = pd.DataFrame({"id": pdf["id"].to_numpy()[p], "name": names[b]})
-                ids = pdf["id"].to_numpy()
-                if len(ids) and (ids[1:] == ids[:-1]).any() or last is not None and len(ids) and ids[0] == last:
-                    found = found.drop_duplicates()
-                    if len(ids) and ids[0] == last:
-                        found = found[~((found["id"] == last) & found["name"].isin(seen))]
-                if len(ids):
-                    seen = (seen if ids[-1] == last else set()) | set(found.loc[found["id"] == ids[-1], "name"])
-                    last = ids[-1]
-                yield found
-
-        return spots.mapInPandas(run, kinds)
-    return _by_cells(spots, good, kinds)
-
-
-def _by_cells(spots: DataFrame, good: DataFrame, kinds: T.StructType) -> DataFrame:
-    sample = spots.select("lat", "lng").orderBy(F.xxhash64("id", "lat")).limit(SAMPLE).toPandas()
-    splits = Splits(unit_vectors(sample["lat"].to_numpy(), sample["lng"].to_numpy()), DEPTH)
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tree = BallTree(unit_vectors(right["lat"].to_numpy(), right["lng"].to_numpy()), chord(right["radius_km"].to_numpy()))
+        p, b = tree.query(unit_vectors(left["lat"].to_numpy(), left["lng"].to_numpy()))
+        found = pd.DataFrame({"id": left["id"].to_numpy()[p], "name": right["name"].to_numpy()[b]})
+        return found.drop_duplicates() if left["id"].duplicated().any() or right["name"].duplicated().any() else found
+
+    met = placed.groupBy("cell", "salt").cogroup(halo.groupBy("cell", "salt")).applyInPandas(meet, kinds)
+    # an id may lie in two cells only if it has two positions; a name may have two balls
+    return met.distinct()
+
+
+def _cells(spots: DataFrame, good: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The points with their cell and salt, and the balls copied to every cell and salt that they reach into."""
+    total = spots.count()
+    depth = min(max((-(-total // cell_rows) - 1).bit_length(), 1), DEEPEST)
+    sample = spots.select("lat", "lng").orderBy(F.xxhash64("id", "lat", "lng")).limit(SAMPLE).toPandas()
+    splits = Splits(unit_vectors(sample["lat"].to_numpy(dtype=float), sample["lng"].to_numpy(dtype=float)), depth)
 
     def cell_of(lat: pd.Series, lng: pd.Series) -> pd.Series:
         return pd.Series(splits.cells(unit_vectors(lat.to_numpy(), lng.to_numpy())))
 
-    placed = spots.withColumn("cell", F.pandas_udf(cell_of, "int")("lat", "lng"))
-    rows = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most 2^DEPTH rows
-    salts = {c: -(-n // CELL_ROWS) for c, n in rows.items()}
-    many = F.create_map(*(F.lit(x) for c, n in salts.items() if n > 1 for x in (c, n))) if any(n > 1 for n in salts.values()) else None
-    deal = F.lit(0) if many is None else F.pmod(F.xxhash64("id", "lat", "lng"), F.coalesce(many[F.col("cell")], F.lit(1))).cast("int")
-    placed = placed.withColumn("salt", deal)
+    celled = spots.withColumn("cell", F.pandas_udf(cell_of, "int")("lat", "lng"))
+    rows = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}  # at most 2^DEEPEST rows
+    salts = {c: -(-n // (2 * cell_rows)) for c, n in rows.items()}
+    many = {c: n for c, n in salts.items() if n > 1}
+    salted = F.create_map(*(F.lit(x) for c, n in many.items() for x in (c, n)))[F.col("cell")] if many else F.lit(1)
+    placed = celled.withColumn("salt", F.pmod(F.xxhash64("id", "lat", "lng"), F.coalesce(salted, F.lit(1))).cast("int"))
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             who, at = splits.halo(unit_vectors(pdf["lat"].to_numpy(), pdf["lng"].to_numpy()), chord(pdf["radius_km"].to_numpy()))
             times = np.array([salts.get(c, 0) for c in at], dtype=int)
-            who, at, salt = np.repeat(who, times), np.repeat(at, times), np.concatenate([np.arange(n) for n in times]) if len(times) else times
-            yield pdf.iloc[who].assign(cell=at, salt=salt)
+            salt = np.concatenate([np.arange(n) for n in times]) if len(times) else times
+            yield pdf.iloc[np.repeat(who, times)].assign(cell=np.repeat(at, times), salt=salt)
 
-    halo = good.mapInPandas(copy, T.StructType([*good.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("salt", T.IntegerType())]))
+    return placed, good.mapInPandas(copy, T.StructType([*good.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("salt", T.IntegerType())]))
+
+
+def neighbour_counts(points: DataFrame, km: float, *, key: str = "id", lat: str = "lat", lng: str = "lng", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(id, n_near): for every located id how many other ids lie within ``km``.
+
+    Positions that are alike are one point with a count, so that a spot which a third of the rows share costs as much as
+    any other; what joins are different positions. An id with several positions counts once for each, and has the
+    greatest of its numbers.
+    """
+    spots = cut_lineage(_located(points, key, lat, lng))
+    places = cut_lineage(spots.groupBy("lat", "lng").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("lat", "lng")))
+    balls = places.select(F.col("id").alias("name"), "lat", "lng", F.lit(float(km)).alias("radius_km"))
+    placed, halo = _cells(places, balls, cell_rows)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree = BallTree(unit_vectors(right["lat"].to_numpy(), right["lng"].to_numpy()), chord(right["radius_km"].to_numpy()))
-        p, b = tree.query(unit_vectors(left["lat"].to_numpy(), left["lng"].to_numpy()))
-        return pd.DataFrame({"id": left["id"].to_numpy()[p], "name": right["name"].to_numpy()[b]})
+        tree = BallTree(unit_vectors(left["lat"].to_numpy(), left["lng"].to_numpy()), np.full(len(left), chord(np.array(float(km)))))
+        near = np.zeros(len(right), dtype=np.int64)
+        for k in range(0, len(right), BATCH):  # so that the pairs of a crowded cell are never held at once
+            p, b = tree.query(unit_vectors(right["lat"].to_numpy()[k : k + BATCH], right["lng"].to_numpy()[k : k + BATCH]))
+            near[k : k + BATCH] = np.bincount(p, weights=left["n"].to_numpy()[b], minlength=len(near[k : k + BATCH])).astype(np.int64)
+        return pd.DataFrame({"at": right["name"].to_numpy(), "near": near})
 
-    return placed.groupBy("cell", "salt").cogroup(halo.groupBy("cell", "salt")).applyInPandas(meet, kinds).distinct()
+    met = placed.groupBy("cell", "salt").cogroup(halo.groupBy("cell", "salt")).applyInPandas(meet, "at bigint, near bigint")
+    total = met.groupBy("at").agg(F.sum("near").alias("near"))
+    counted = spots.select("id", F.xxhash64("lat", "lng").alias("at")).join(total, "at")
+    return counted.groupBy("id").agg((F.max("near") - 1).alias("n_near"))
 
 
-def neighbours_within(points: DataFrame, km: float, *, key: str = "id", lat: str = "lat", lng: str = "lng", balls: int = BALLS) -> DataFrame:
+def neighbours_within(points: DataFrame, km: float, *, key: str = "id", lat: str = "lat", lng: str = "lng", cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, near): for every id all other ids within ``km``; each pair in both directions."""
     centres = points.select(F.col(key).alias("name"), F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.lit(float(km)).alias("radius_km"))
-    return within_radius(points, centres, key=key, lat=lat, lng=lng, balls=balls).where(F.col("id") != F.col("name")).withColumnRenamed("name", "near")
+    return within_radius(points, centres, key=key, lat=lat, lng=lng, cell_rows=cell_rows).where(F.col("id") != F.col("name")).withColumnRenamed("name", "near")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", balls: int = BALLS) -> DataFrame:
@@ -271,45 +282,63 @@ def sweep_regions(x: np.ndarray, y: np.ndarray, edges: np.ndarray, owner: np.nda
     """(point, region) by a plane sweep from west to east.
 
     ``edges`` (n, 4) holds x, y of both ends, ``owner`` the region of each edge. An edge is active from its west end
-    up to, not including, its east end; a point lies in the regions with an odd number of active edges below it.
+    up to, not including, its east end; a point lies in the regions with an odd number of active edges below it. The
+    sweep stops where edges begin or end; the points between two stops are held against the active edges together.
     """
     flip = edges[:, 0] > edges[:, 2]
     edges = np.where(flip[:, None], edges[:, [2, 3, 0, 1]], edges)
     steep = edges[:, 0] < edges[:, 2]
     edges, owner = edges[steep], owner[steep]
-    start, stop = np.argsort(edges[:, 0], kind="stable"), np.argsort(edges[:, 2], kind="stable")
-    active, i, j = set(), 0, 0
+    none = np.zeros(0, dtype=int)
+    if not len(edges) or not len(x):
+        return none, none
+    stops = np.unique(np.concatenate([edges[:, 0], edges[:, 2]]))
+    first, last = np.searchsorted(stops, edges[:, 0]), np.searchsorted(stops, edges[:, 2])
+    begin, end = np.argsort(first, kind="stable"), np.argsort(last, kind="stable")
+    slab = np.searchsorted(stops, x, side="right") - 1
+    order = np.argsort(slab, kind="stable")
+    filled, starts = np.unique(slab[order], return_index=True)
+    active, i, j = np.zeros(0, dtype=int), 0, 0
     points, regions = [], []
-    for p in np.argsort(x, kind="stable"):
-        while i < len(start) and edges[start[i], 0] <= x[p]:
-            active.add(start[i])
-            i += 1
-        while j < len(stop) and edges[stop[j], 2] <= x[p]:
-            active.discard(stop[j])
-            j += 1
-        if active:
-            e = np.fromiter(active, dtype=int)
-            a = edges[e]
-            below = a[:, 1] + (a[:, 3] - a[:, 1]) * (x[p] - a[:, 0]) / (a[:, 2] - a[:, 0]) <= y[p]
-            inside = np.nonzero(np.bincount(owner[e[below]], minlength=1) % 2)[0]
-            points += [p] * len(inside)
-            regions += list(inside)
-    return np.array(points, dtype=int), np.array(regions, dtype=int)
-
-
-#: Corners of all regions that may be sent to every task.
-CORNERS = 500_000
-
-
-def regions_containing(points: DataFrame, regions: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", corners: int = CORNERS) -> DataFrame:
+    for k, s in enumerate(filled):
+        if s < 0 or s >= len(stops) - 1:
+            continue
+        upto = np.searchsorted(first[begin], s, side="right")
+        active = np.concatenate([active, begin[i:upto]])
+        i = max(i, upto)
+        active = active[last[active] > s]
+        if not len(active):
+            continue
+        own = order[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(order)]
+        a = edges[active]
+        kinds, group = np.unique(owner[active], return_inverse=True)
+        for at in np.array_split(own, max(1, len(own) * len(active) // BATCH**2)):
+            below = a[:, 1] + (a[:, 3] - a[:, 1]) * (x[at, None] - a[:, 0]) / (a[:, 2] - a[:, 0]) <= y[at, None]
+            odd = np.zeros((len(at), len(kinds)), dtype=np.int64)
+            np.add.at(odd.T, group, below.T.astype(np.int64))
+            p, r = np.nonzero(odd % 2)
+            points.append(at[p])
+            regions.append(kinds[r])
+    return (np.concatenate(points), np.concatenate(regions)) if points else (none, none)
+
+
+#: Points that meet a crowd at a time.
+BATCH = 2048
+#: Points of a strip that one task takes, and strips at most.
+STRIP_ROWS = 100_000
+STRIPS = 4096
+
+
+def regions_containing(points: DataFrame, regions: DataFrame, *, key: str = "id", lat: str = "lat", lng: str = "lng", strip_rows: int = STRIP_ROWS) -> DataFrame:
     """(id, name): every point and polygon that contains it (even-odd rule; a shared border belongs to one side).
 
     ``regions`` has name and ring, an array of (lat, lng) corners; a ring need not be closed, one of fewer than three
-    corners is empty, and one that crosses the date line must be cut there. The corners are counted first; beyond
-    ``corners`` the edges go by strips of longitude instead, each to the strips it spans.
+    corners is empty, and one that crosses the date line must be cut there. Points and edges go by strips of longitude, as
+    many as the counted points need, each edge to the strips it spans; a strip of one longitude is dealt out by latitude's
+    hash, its edges copied.
     """
     kinds = T.StructType([T.StructField("id", points.schema[key].dataType), T.StructField("name", regions.schema["name"].dataType)])
-    spots = _located(points, key, lat, lng)
+    spots = cut_lineage(_located(points, key, lat, lng))
     ring = F.col("ring")
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     edges = regions.where(F.col("name").isNotNull() & (F.size("ring") >= 3)).select("name", F.explode(F.arrays_zip(ring.alias("a"), after.alias("b"))).alias("e")).select("name", F.col("e.a.lng").alias("x"), F.col("e.a.lat").alias("y"), F.col("e.b.lng").alias("u"), F.col("e.b.lat").alias("v"))
@@ -319,19 +348,18 @@ def regions_containing(points: DataFrame, regions: DataFrame, *, key: str = "id"
         p, r = sweep_regions(left["lng"].to_numpy(), left["lat"].to_numpy(), right[["x", "y", "u", "v"]].to_numpy(dtype=float), owner, len(names))
         return pd.DataFrame({"id": left["id"].to_numpy()[p], "name": np.asarray(names, dtype=object)[r]})
 
-    few = edges.limit(corners + 1).toPandas()
-    if len(few) <= corners:
-        shared = points.sparkSession.sparkContext.broadcast(few)
+    strips = min(-(-spots.count() // strip_rows), STRIPS)
+    cuts = sorted(set(spots.approxQuantile("lng", [k / strips for k in range(1, strips)], 0.1 / strips))) if strips > 1 else []
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield swept(pdf, shared.value)
-
-        return spots.mapInPandas(run, kinds).distinct()
-    cuts = spots.approxQuantile("lng", [k / 64 for k in range(1, 64)], 0.005)
-    strip = lambda c: sum((F.when(c >= q, 1).otherwise(0) for q in cuts), F.lit(0))
-    deal = F.pmod(F.xxhash64("id", "lat"), F.lit(8)).cast("int")
-    left = spots.withColumn("strip", strip(F.col("lng"))).withColumn("salt", deal)
-    west, east = strip(F.least("x", "u")), strip(F.greatest("x", "u"))
-    right = edges.withColumn("strip", F.explode(F.sequence(west, east))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    def strip_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right"))
+
+    strip = F.pandas_udf(strip_of, "int")
+    left = spots.withColumn("strip", strip("lng"))
+    rows = {r["strip"]: r["count"] for r in left.groupBy("strip").count().collect()}  # at most STRIPS rows
+    many = {c: -(-n // (2 * strip_rows)) for c, n in rows.items() if n > 2 * strip_rows}
+    salts = F.coalesce(F.create_map(*(F.lit(x) for c, n in many.items() for x in (c, n)))[F.col("strip")], F.lit(1)) if many else F.lit(1)
+    left = left.withColumn("salt", F.pmod(F.xxhash64("id", "lat"), salts).cast("int"))
+    ends = edges.withColumn("west", strip(F.least("x", "u"))).withColumn("east", strip(F.greatest("x", "u")))
+    right = ends.withColumn("strip", F.explode(F.sequence("west", "east"))).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.groupBy("strip", "salt").cogroup(right.groupBy("strip", "salt")).applyInPandas(swept, kinds).distinct()

@@ -265,7 +265,7 @@ _WORDS = f"len(list_filter(regexp_split_to_array(coalesce(deskripsi, ''), '{_WS}
 _KM = "2 * 6371e0 * asin(least(1e0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
 _HERE = _KM.format(a="koordinat_lat", b="koordinat_lng", c="-5.3645e0", d="105.2434e0")
 _THERE = _KM.format(a="koordinat_lat", b="koordinat_lng", c="lat", d="lng")
-_PLACES = "places as (select name, lat, lng from gazetteer where lat is not null and lng is not null and abs(lat) <= 90 order by name limit 20)"
+_PLACES = "places as (select name, lat, lng from gazetteer where lat is not null and lng is not null and abs(lat) <= 90)"
 _REASON = f"""case when coalesce({_JUDUL}, '') = '' then 'title' when {_WORDS} < 5 then 'description' when lower(coalesce(tipe, '')) not in ('putra', 'putri', 'campur') then 'type' when not ({_OK}) then 'position' end"""
 _HAVE = "select count(*) filter (in_a) as current, count(*) filter (in_a and in_b) as kept, count(*) filter (not in_b) as removed, count(*) filter (not in_a) as added from (select a.id is not null as in_a, b.id is not null as in_b from a full join b using (id))"
 
@@ -289,7 +289,7 @@ ORACLE = {
     "x24_haversine": f"with {_LAST} select id, round({_HERE}, 6) as km, round(1 / (1 + {_HERE}), 6) as nearness from last where {_OK}",
     "a02_statistics": f"with {_LAST} select coalesce(nullif(kecamatan, ''), '?') as district, count(*) as n, min(harga_per_bulan) as least, max(harga_per_bulan) as most, cast(trunc(avg(harga_per_bulan)) as bigint) as mean from last group by 1",
     "a06_top_facilities": f"with {_LAST} select facility, count(*) as n from (select unnest(fasilitas) as facility from last) group by 1 order by 2 desc, 1 limit 20",
-    "a07_mentions": f"with {_LAST}, {_PLACES} select lower(name) as name, count(*) as n from last join places on contains(lower(deskripsi), lower(name)) group by 1",
+    "a07_mentions": f"with {_LAST}, forms as (select name, lower(name) as form from gazetteer union select name, lower(a) from (select name, unnest(aliases) as a from gazetteer)) select name, count(distinct id) as n from last join forms on form <> '' and contains(lower(deskripsi), form) group by 1",
     "a08_describe": f"with {_LAST}, p as (select cast(harga_per_bulan as double) as x from last) select count(x) as n, round(avg(x), 3) as mean, round(stddev_samp(x), 3) as std, round(min(x), 3) as least, round(quantile_cont(x, 0.25), 3) as q1, round(quantile_cont(x, 0.5), 3) as q2, round(quantile_cont(x, 0.75), 3) as q3, round(max(x), 3) as most from p",
     "a09_histogram": f"with {_LAST}, p as (select cast(harga_per_bulan as double) as x from last where harga_per_bulan between 100000 and 5000000), e as (select min(x) as lo, max(x) as hi from p) select cast(least(floor((x - lo) / ((hi - lo) / 25)), 24) as bigint) as bin, count(*) as n from p, e group by 1",
     "a13_null_counts": " union all ".join(f"select '{c}' as field, count(*) filter ({c} is null{t}) as n_missing from listings" for c, t in (("id", " or id = ''"), ("judul", " or judul = ''"), ("deskripsi", " or deskripsi = ''"), ("harga_per_bulan", ""), ("tipe", " or tipe = ''"), ("fasilitas", " or len(fasilitas) = 0"), ("alamat", " or alamat = ''"), ("kecamatan", " or kecamatan = ''"), ("koordinat_lat", ""), ("url_source", " or url_source = ''"))),

@@ -137,10 +137,10 @@ def test_within_radius(spark):
     ok = lambda x: x is not None and x == x and abs(x) <= 90
     want = {(i, n) for i, a, b in scattered(400, 1) for n, c, d, r in places if ok(a) and ok(c) and r is not None and far(a, b, c, d) <= r}
     df = spark.createDataFrame(places, "name string, lat double, lng double, radius_km double")
-    for balls in (1000, 5):
-        got = P.within_radius(points, df, balls=balls).collect()
+    for rows in (1000, 40):  # one split, or many cells
+        got = P.within_radius(points, df, cell_rows=rows).collect()
         assert {(r.id, r.name) for r in got} == want and len(got) == len(want)
-    assert P.within_radius(points.limit(0), df, balls=5).count() == 0 and P.within_radius(points, df.limit(0)).count() == 0
+    assert P.within_radius(points.limit(0), df).count() == 0 and P.within_radius(points, df.limit(0)).count() == 0
 
 
 def written(spark, folder, gazetteer, listings):
@@ -193,8 +193,24 @@ def test_regions(spark):
 
     want = {(i, n) for i, lat, lng in points for n, r in rings.items() if len(r) > 2 and inside(lat, lng, r)}
     df = spark.createDataFrame(points, "id string, lat double, lng double")
-    for corners in (1000, 2):
-        assert {(r.id, r.name) for r in P.regions_containing(df, regions, corners=corners).collect()} == want
+    for rows in (1000, 20):  # one strip, or many
+        assert {(r.id, r.name) for r in P.regions_containing(df, regions, strip_rows=rows).collect()} == want
+    assert P.regions_containing(df.limit(0), regions).count() == 0 and P.regions_containing(df, regions.limit(0)).count() == 0
+
+
+def test_crowded_spots_are_split_and_counted(spark):
+    """A spot that a third of the rows share: salted cells for places, one counted point for neighbours."""
+    rng = random.Random(9)
+    points = [(f"hot{i}", -5.0, 105.0) for i in range(120)] + [(f"p{i}", -5 + rng.uniform(0, 0.01), 105 + rng.uniform(0, 0.01)) for i in range(200)] + [("hot1", -5.0, 105.0), ("null", None, 105.0)]
+    df = spark.createDataFrame(points, "id string, lat double, lng double")
+    far = lambda a, b, c, d: 2 * 6371 * math.asin(min(1, math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2)))
+    spots = sorted({x for x in points if x[1] is not None})
+    want = {i: sum(far(a, b, c, d) <= 0.2 for _, c, d in spots) - 1 for i, a, b in spots}
+    assert {r.id: r.n_near for r in P.neighbour_counts(df, 0.2, cell_rows=20).collect()} == want
+    places = spark.createDataFrame([("here", -5.0, 105.0, 0.2)], "name string, lat double, lng double, radius_km double")
+    assert {r.id for r in P.within_radius(df, places, cell_rows=20).collect()} == {i for i, a, b in spots if far(a, b, -5.0, 105.0) <= 0.2}
+    pairs = {(r.id, r.near) for r in P.neighbours_within(df, 0.2, cell_rows=50).collect()}
+    assert len(pairs) == sum(want.values())
 
 
 def test_quality(spark):
