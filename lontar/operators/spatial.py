@@ -27,7 +27,7 @@ from lontar.runtime import cut_lineage
 EARTH_KM = 6371.0
 #: Places that ``nearest_place`` sends to the tasks at a time (40 bytes each, and their name).
 BALLS = 100_000
-#: Points that fit the splits; a bound on what the driver holds, not on what is joined.
+#: Points that fit the splits, at most about twice as many; a bound on what the driver holds, not on what is joined.
 SAMPLE = 50_000
 #: Points of a cell that one task takes.
 CELL_ROWS = 50_000
@@ -191,7 +191,8 @@ def _cells(spots: DataFrame, good: DataFrame, cell_rows: int) -> tuple[DataFrame
     """The points with their cell and salt, and the balls copied to every cell and salt that they reach into."""
     total = spots.count()
     depth = min(max((-(-total // cell_rows) - 1).bit_length(), 1), DEEPEST)
-    sample = spots.select("lat", "lng").orderBy(F.xxhash64("id", "lat", "lng")).limit(SAMPLE).toPandas()
+    every = max(1, total // SAMPLE)  # one point in so many, by hash: about SAMPLE to twice as many
+    sample = spots.where(F.pmod(F.xxhash64("id", "lat", "lng"), F.lit(every)) == 0).select("lat", "lng").toPandas()
     splits = Splits(unit_vectors(sample["lat"].to_numpy(dtype=float), sample["lng"].to_numpy(dtype=float)), depth)
 
     def cell_of(lat: pd.Series, lng: pd.Series) -> pd.Series:
