@@ -4,14 +4,15 @@ Plan
 ----
 1. ``parse_addresses`` reads each *distinct* address once (Arrow batches) into components: street, street
    numeral, block, house number with its letter, neighbourhood unit, ward, sub-district, postcode.
-2. ``resolve_components`` corrects the two name parts against the corpus itself: a rare street spelling maps
-   to a frequent one at edit distance one or two (deletion-neighbourhood join, verified), sub-districts map to
-   the reference list, and wards, postcodes and streets that point to one sub-district fill in a missing one.
-3. ``same_house`` indexes every address under its rarest identifying token (street + numeral + block + number,
-   one token, so its frequency stays that of a house and does not grow with the corpus) and lets addresses
-   probe it; the match is kept when no component contradicts. Addresses without a sub-district take the one of
-   the fuller addresses they are contained in, provided that is unique.
-4. ``address_pairs`` expands houses into listing pairs.
+2. ``resolve_components`` corrects the name parts against the corpus itself: a spelling maps to a far more frequent one
+   at edit distance one or two (deletion-neighbourhood join, verified), sub-districts map to the reference list, and
+   wards, postcodes and streets that point to one sub-district fill in a missing one.
+3. ``same_house``: an address is a set of tokens (street, number, the two with numeral and block as one token, unit, ward,
+   postcode, sub-district), each weighted by its rarity over all addresses. Addresses that miss the sub-district are
+   indexed under their rarest tokens, as many as a containment of ``CONTAINED`` needs; the fuller addresses, merged by
+   house and sub-district, probe that index with all their tokens. A candidate counts if no component contradicts and
+   the weight of the shared tokens is ``CONTAINED`` of the weight of the poorer address; the greatest containment wins.
+4. ``houses`` gives every listing its house, ``address_pairs`` expands houses into listing pairs.
 
 Nulls, blank addresses and addresses without street and number denote no house. Repeated rows count once.
 """
@@ -39,6 +40,7 @@ _PAREN = re.compile(r"\([^)]*\)")
 _POST = re.compile(r"\b\d{5}\b")
 _RT = re.compile(r"\brt\W*(\d{1,3})\W*(?:rw)?\W*(\d{1,3})")
 _BLOCK = re.compile(rf"\b(?:{BLOCK})\b[\s.:]*([a-z]{{1,2}})[\s.-]*(\d*)[\s,.]*(?:/|(?:{NUMBER})\b|#)[\s.:]*(\d+)(?:\s*[-/]?\s*([a-z])\b)?")
+_NO_BLOCK = re.compile(rf"(?:\b(?:{NUMBER})(?=[\s.:\d])|#)[\s.:]*(\d+)(?:\s*[-/]?\s*([a-z])\b)?[\s,./-]*\b(?:{BLOCK})\b[\s.:]*([a-z]{{1,2}})\b[\s.-]*(\d*)")
 _NO = re.compile(rf"(?:\b(?:{NUMBER})(?=[\s.:\d])|#)[\s.:]*(\d+)(?:\s*[-/]?\s*([a-z])\b(?![.]))?")
 _SEP = re.compile(r"\s*[,;\n\r]+\s*|\s+-+\s+")
 _STREET = re.compile(rf"^(?:{STREET})(?=[\s.:])[\s.:]*")
@@ -67,6 +69,9 @@ def parse_address(text: str, city: str = "") -> tuple | None:
     if m := _BLOCK.search(s):
         block, number = m[1] + str(int(m[2] or 0)), str(int(m[3])) + (m[4] or "")
         s = s[: m.start()] + " \x01," + s[m.end() :]
+    elif m := _NO_BLOCK.search(s):
+        block, number = m[3] + str(int(m[4] or 0)), str(int(m[1])) + (m[2] or "")
+        s = s[: m.start()] + " \x01," + s[m.end() :]
     elif m := _NO.search(s):
         number = str(int(m[1])) + (m[2] or "")
         s = s[: m.start()] + " \x01 " + s[m.end() :]
@@ -128,26 +133,33 @@ def parse_addresses(df: DataFrame, column: str = "alamat") -> DataFrame:
     return distinct.mapInPandas(run, PARSED)
 
 
+#: A spelling is taken for an error if another is this many times as frequent, and if it has no more than one use and
+#: this share of the other's: some errors of frequent names are frequent themselves.
+TIMES, SHARE = 5, 0.02
+
+
 def deletions(name: Column) -> Column:
-    """Search keys of a name: itself less one letter at every place, and its first and last six letters.
+    """Search keys of a name: itself less one letter at every place, and its two halves.
 
     Two names one edit apart (a letter added, lost or changed, or two swapped) share a key; so do names with two
-    edits in one half.
+    edits in one half. Halves come in two lengths, since an edit changes the length.
     """
     n = F.length(name)
+    half = F.greatest(F.floor(n / 2).cast("int"), F.lit(3))
     less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(name, 1, i - 1), F.substr(name, i + 1)))
-    ends = F.array(F.concat(F.lit("<"), F.substring(name, 1, 6)), F.concat(F.lit(">"), F.substring(name, -6, 6)))
-    return F.array_distinct(F.concat(F.array(name), less, ends))
+    ends = [F.concat(F.lit(mark), F.substr(name, start, size)) for size in (half, half - 1) for mark, start in (("<", F.lit(1)), (">", F.greatest(n - size + 1, F.lit(1))))]
+    return F.array_distinct(F.concat(F.array(name, *ends), less))
 
 
 def spelling_map(names: DataFrame, entries: DataFrame, most: int = 2) -> DataFrame:
-    """For each row (name, n) of ``names`` the entry (entry, n) meant: the nearest within ``most`` edits, the more
-    frequent among equals, then the first by code point. An entry must be at least five times as frequent as a
-    different spelling of it, so that two true names are not merged. Columns (name, entry)."""
+    """(name, entry) for each row (name, n) of ``names`` that is taken for a spelling of an entry (entry, n): the nearest
+    within ``most`` edits, the more frequent among equals, then the first by code point. How frequent the name is itself
+    does not protect it, only the ratio does (``TIMES``, ``SHARE``), so that the result is the same for any table size."""
     left = names.select("name", F.col("n").alias("n"), F.explode(deletions(F.col("name"))).alias("key"))
     right = entries.select("entry", F.col("n").alias("m"), F.explode(deletions(F.col("entry"))).alias("key"))
     near = F.levenshtein("name", "entry", most)
-    pairs = left.join(right, "key").where((F.col("name") == F.col("entry")) | ((F.col("m") >= 5 * F.col("n")) & (near >= 0)))
+    rare = (F.col("m") >= TIMES * F.col("n")) & (F.col("n") <= 1 + SHARE * F.col("m"))
+    pairs = left.join(right, "key").where(rare & (near >= 0))
     best = F.min_by("entry", F.struct(near, -F.col("m"), F.col("entry")))
     return pairs.groupBy("name").agg(best.alias("entry"))
 
@@ -169,13 +181,19 @@ def resolve_components(parsed: DataFrame, districts: DataFrame, purity: float =
     entries = districts.select(tight.alias("entry"), F.lit(1 << 40).cast("bigint").alias("n")).distinct()
 
     streets = cut_lineage(parsed.groupBy(F.col("street").alias("name")).agg(F.count("*").alias("n")))
-    street_map = cut_lineage(spelling_map(streets, streets.select(F.col("name").alias("entry"), "n").where("n >= 5")))
+    one = cut_lineage(spelling_map(streets, streets.select(F.col("name").alias("entry"), "n").where(F.col("n") >= TIMES)))
+    # an error of an error: follow the entry once more
+    two = bounded_broadcast(one.select(F.col("name").alias("entry"), F.col("entry").alias("further")))
+    street_map = cut_lineage(one.join(two, "entry", "left").select("name", F.coalesce("further", "entry").alias("entry")))
     parts = F.array_compact(F.concat(F.array("district"), F.col("bare")))
     named = parsed.select(F.explode(F.array_compact(F.concat(F.array("district", "ward"), F.col("bare")))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     named = cut_lineage(named)
     place_map = spelling_map(named, entries).withColumn("kind", F.lit("d"))
-    wards = spelling_map(named.join(place_map, "name", "left_anti"), named.where("n >= 5").select(F.col("name").alias("entry"), "n").join(place_map.select(F.col("name").alias("entry")), "entry", "left_anti"))
-    place_map = cut_lineage(place_map.unionByName(wards.withColumn("kind", F.lit("w"))))
+    place_map = cut_lineage(place_map)
+    left = cut_lineage(named.join(place_map, "name", "left_anti"))
+    wards = cut_lineage(spelling_map(left, left.where(F.col("n") >= TIMES).select(F.col("name").alias("entry"), "n")))
+    own = left.where(F.col("n") >= TIMES).join(wards, "name", "left_anti").select("name", F.col("name").alias("entry"))
+    place_map = cut_lineage(place_map.unionByName(wards.unionByName(own).withColumn("kind", F.lit("w"))))
 
     # one row per named part, joined to what it means, and folded back into the address
     keyed = parsed.withColumn("ward", F.array_compact(F.array("ward"))).withColumn("part", F.explode_outer(F.array_union(parts, F.col("ward"))))
@@ -198,43 +216,72 @@ def resolve_components(parsed: DataFrame, districts: DataFrame, purity: float =
 
 
 IDENTITY = ["street", "numeral", "block", "number"]
+#: Share of the poorer address's weight that the fuller one must hold.
+CONTAINED = 0.5
+_PARTS = ("unit", "ward", "postcode")
+
+
+def _tokens() -> Column:
+    """The tokens of a resolved address; missing parts give none."""
+    house = F.concat(F.lit("h|"), F.concat_ws("|", *IDENTITY))
+    parts = [F.concat(F.lit(f"{c[0]}|"), F.col(c)) for c in (*_PARTS, "district")]
+    return F.array_compact(F.array(house, F.concat(F.lit("s|"), "street"), F.concat(F.lit("n|"), "number"), *parts))
 
 
 def same_house(resolved: DataFrame) -> DataFrame:
     """(alamat, house): addresses of one house share the value of ``house``.
 
-    Every address is indexed under its rarest identifying token, the street with numeral, block and number in
-    one. Addresses that lack the sub-district probe the fuller ones under the same token: one that they are
-    contained in (no unit, ward or postcode against it) passes its sub-district on. If the fuller addresses under
-    the token lie in several sub-districts, the one with the greatest weight of agreeing parts counts, and none
-    if two are equal.
+    Addresses that name the sub-district (or have it from ward, postcode or street) are of one house if street with
+    numeral, block and number are the same there. One that does not is joined by containment to the fuller addresses,
+    and has the house of the one that contains most of it; of none if two contain it equally, or if its unit, ward or
+    postcode contradicts. Missing units, wards and postcodes on either side contradict nothing.
     """
-    token = F.concat_ws("|", *IDENTITY).alias("token")
-    df = resolved.select("alamat", token, "unit", "ward", "postcode", "district")
-    full = df.where(F.col("district").isNotNull()).groupBy("token", "district").agg(*(F.collect_set(c).alias(f"{c}s") for c in ("unit", "ward", "postcode")))
-    lack = df.where(F.col("district").isNull()).drop("district")
-    contained, weight = F.lit(True), F.lit(0)
-    for c, w in ("unit", 4), ("ward", 2), ("postcode", 2):
-        known = F.col(c).isNotNull() & (F.size(f"{c}s") > 0)
-        agrees = F.array_contains(f"{c}s", F.col(c))
-        contained &= ~known | agrees
-        weight += F.when(known & agrees, w).otherwise(0)
-    found = lack.join(full, "token").where(contained).withColumn("weight", weight)
-    ranked = found.groupBy("alamat").agg(F.max_by("district", "weight").alias("district"), F.max("weight").alias("top"), F.collect_list("weight").alias("weights"))
-    unique = ranked.where(F.size(F.filter("weights", lambda x: x == F.col("top"))) == 1).select("alamat", "district")
-    rest = lack.join(unique, "alamat", "left")
-    placed = df.where(F.col("district").isNotNull()).unionByName(rest)
+    house = F.concat_ws("|", *IDENTITY)
+    df = resolved.select("alamat", house.alias("token"), *IDENTITY, *_PARTS, "district")
+    kinds = cut_lineage(df.groupBy("token", *IDENTITY, *_PARTS, "district").agg(F.count("*").alias("n")).withColumn("tokens", _tokens()))
+    rarity = kinds.select("n", F.explode("tokens").alias("t")).groupBy("t").agg(F.sum("n").alias("df"))
+    lack = kinds.where("district is null").select("token", *_PARTS, F.explode("tokens").alias("t"))
+    total = F.lit(float(max(kinds.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0], 1)))
+    weighed = lack.join(bounded_broadcast(cut_lineage(rarity)), "t").withColumn("w", F.log(1 + total / F.col("df")))
+    poor = weighed.groupBy("token", *_PARTS).agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("order"), "t", "w"))).alias("ranked"))
+    poor = cut_lineage(poor.withColumn("all", F.aggregate("ranked", F.lit(0.0), lambda a, x: a + x.w)).withColumn("poor", F.monotonically_increasing_id()))
+
+    # prefix filter: what is left after the indexed tokens weighs less than a containment needs
+    before = F.transform("ranked", lambda x, i: F.struct(x.t.alias("t"), F.aggregate(F.slice("ranked", F.lit(1), i), F.lit(0.0), lambda a, y: a + y.w).alias("sum")))
+    index = poor.select("poor", F.explode(F.filter(before, lambda x: x.sum <= (1 - CONTAINED) * F.col("all") + 1e-9)).alias("x")).select("poor", F.col("x.t").alias("t"))
+    profiles = kinds.where("district is not null").groupBy("token", "district").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"), *(F.collect_set(c).alias(f"{c}s") for c in _PARTS))
+    profiles = cut_lineage(profiles.withColumn("full", F.monotonically_increasing_id()))
+    probes = profiles.select("full", F.col("token").alias("of"), "district", F.explode("tokens").alias("t"))
+    # identity is never missing in either, so a probe under another token of a different house contradicts at once
+    met = probes.join(index.join(poor.select("poor", "token"), "poor"), (probes["t"] == index["t"]) & (probes["of"] == F.col("token"))).select("poor", "full").distinct()
+    both = met.join(poor, "poor").join(profiles.drop("token"), "full")
+    fits = F.lit(True)
+    for c in _PARTS:
+        fits &= F.col(c).isNull() | (F.size(f"{c}s") == 0) | F.array_contains(f"{c}s", F.col(c))
+    held = F.aggregate(F.filter("ranked", lambda x: F.array_contains("tokens", x.t)), F.lit(0.0), lambda a, x: a + x.w)
+    found = both.where(fits).withColumn("share", F.round(held / F.col("all"), 9)).where(F.col("share") >= CONTAINED)
+    best = found.groupBy("poor", "token", *_PARTS).agg(F.max_by("district", "share").alias("to"), F.max("share").alias("top"), F.collect_list("share").alias("shares"))
+    unique = best.where(F.size(F.filter("shares", lambda x: x == F.col("top"))) == 1).select("token", *_PARTS, "to")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("token", *_PARTS)]
+    on = same[0] & same[1] & same[2] & same[3]
+    rest = df.where("district is null").alias("a").join(bounded_broadcast(cut_lineage(unique)).alias("b"), on, "left").select("a.alamat", "a.token", F.col("b.to").alias("district"))
+    placed = df.where("district is not null").select("alamat", "token", "district").unionByName(rest)
     return placed.select("alamat", F.concat_ws("|", "token", F.coalesce("district", F.lit("?"))).alias("house"))
 
 
+def houses(listings: DataFrame, districts: DataFrame) -> DataFrame:
+    """(id, house): each id and the house that its address denotes, if it denotes one; ids may repeat, and an id with
+    several addresses may have several houses."""
+    placed = cut_lineage(same_house(resolve_components(parse_addresses(listings), districts)))
+    return listings.select("id", "alamat").join(placed, "alamat").select("id", "house").where(F.col("id").isNotNull()).distinct()
+
+
 def address_pairs(listings: DataFrame, districts: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: different ids whose addresses denote one house.
 
     ``listings`` needs id and alamat, other columns do not matter; ids may repeat. A house shared by very many
     listings gives that many pairs, as asked; its join is split by AQE like any skewed key.
     """
-    houses = cut_lineage(same_house(resolve_components(parse_addresses(listings), districts)))
-    placed = listings.select("id", "alamat").join(houses, "alamat").select("id", "house").where(F.col("id").isNotNull()).distinct()
-    placed = cut_lineage(placed)
+    placed = cut_lineage(houses(listings, districts))
     a, b = placed.withColumnRenamed("id", "id_a"), placed.withColumnRenamed("id", "id_b")
     return a.join(b, "house").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()

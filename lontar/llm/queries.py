@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lontar.llm import addresses, canonical, consensus, listings, mixing, splitting, templates, tokens
-from lontar.runtime import table
+from lontar.runtime import cut_lineage, table
 
 
 def p1_found(spark, folder):
@@ -52,6 +52,13 @@ def p3_found(spark, folder):
     return addresses.address_pairs(table(spark, folder, "listings"), districts)
 
 
+def p3_houses(spark, folder):
+    """The house of each listing whose address denotes one, and how many listings stand there."""
+    districts = table(spark, folder, "canonical_values").where(F.col("field_name") == "kecamatan").select("entry")
+    found = cut_lineage(addresses.houses(table(spark, folder, "listings"), districts))
+    return found.join(found.groupBy("house").agg(F.count("*").alias("n_listings")), "house").select("id", "house", "n_listings")
+
+
 def _districts(spark, folder):
     return table(spark, folder, "canonical_values").where(F.col("field_name") == "kecamatan").select("entry", "aliases")
 
@@ -104,7 +111,7 @@ def p9_found(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_templates, p1_leaks, p2_found, p2_refined, p2_agreement, p2_annotators, p3_found, p4_found, p4_rooms, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
+    for f in (p1_found, p1_templates, p1_leaks, p2_found, p2_refined, p2_agreement, p2_annotators, p3_found, p3_houses, p4_found, p4_rooms, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
 }
 
 ORACLE = {}

@@ -33,6 +33,27 @@ def test_typing_errors_and_districts(spark):
     assert pairs(spark, texts) == {("005", "021")}
 
 
+def test_any_part_may_be_missing_or_elsewhere(spark):
+    parts = ["Jl. Kenanga Putih II", "Blok C No. 7", "RT 01/RW 02", "Kel. Sawah", "Kec. Randu Alasan", "39411"]
+    full = ", ".join(parts)
+    same = [full, "Kec. Randu Alasan, Kel. Sawah, No 7 Blok C, Kenanga Putih II"] + [", ".join(p for p in parts if p != gone) for gone in parts[2:]]
+    other = ["Jl. Kenanga Putih II, Blok D No. 7, Kec. Randu Alasan", "Jl. Kenanga Putih III, Blok C No. 7, Kec. Randu Alasan", "Jl. Kenanga Putih II, Blok C No. 7a, Kec. Randu Alasan", "Jl. Kenanga Putih II, Blok C No. 7, Kec. Rawa Kencanti"]
+    filler = [f"Jl. Kenanga Putih II No. {k}, Kec. Rawa Kencanti" for k in range(40, 46)]
+    found = pairs(spark, same + other + filler)
+    assert found == {(f"{a:03}", f"{b:03}") for a in range(len(same)) for b in range(a + 1, len(same))}
+
+
+def test_a_contradicting_part_is_no_house(spark):
+    texts = ["Jl. Melur No. 7, RT 01/RW 02, Kec. Randu Alasan", "Jl. Melur No. 7, RT 05/RW 02", "Jl. Melur No. 8, Kec. Rawa Kencanti"]
+    assert pairs(spark, texts) == set()
+
+
+def test_frequent_errors_are_still_errors(spark):
+    names = spark.createDataFrame([("kenangaputih", 1000), ("kenangaputi", 6), ("mawar", 900), ("mawas", 700), ("kenangaptui", 1)], "name string, n bigint")
+    found = {r.name: r.entry for r in A.spelling_map(names, names.withColumnRenamed("name", "entry")).collect()}
+    assert found["kenangaputi"] == "kenangaputih" and "mawas" not in found and "kenangaputih" not in found
+
+
 @pytest.mark.parametrize("texts", [[], [None], [""], ["x" * 200_000], ["Jl. A No. 1, " + "Kel. B, " * 20_000]])
 def test_edges(spark, texts):
     assert pairs(spark, texts) == set()
