@@ -133,7 +133,7 @@ def parse_addresses(df: DataFrame, column: str = "alamat") -> DataFrame:
     return distinct.mapInPandas(run, PARSED)
 
 
-#: A spelling is taken for an error if another is this many times as frequent, and if it has no more than one use and
+#: A spelling is taken for an error if another is this many times as frequent, and if it has no more than two uses and
 #: this share of the other's: some errors of frequent names are frequent themselves.
 TIMES, SHARE = 5, 0.02
 
@@ -158,7 +158,7 @@ def spelling_map(names: DataFrame, entries: DataFrame, most: int = 2) -> DataFra
     left = names.select("name", F.col("n").alias("n"), F.explode(deletions(F.col("name"))).alias("key"))
     right = entries.select("entry", F.col("n").alias("m"), F.explode(deletions(F.col("entry"))).alias("key"))
     near = F.levenshtein("name", "entry", most)
-    rare = (F.col("m") >= TIMES * F.col("n")) & (F.col("n") <= 1 + SHARE * F.col("m"))
+    rare = (F.col("m") >= TIMES * F.col("n")) & (F.col("n") <= 2 + SHARE * F.col("m"))
     pairs = left.join(right, "key").where(rare & (near >= 0))
     best = F.min_by("entry", F.struct(near, -F.col("m"), F.col("entry")))
     return pairs.groupBy("name").agg(best.alias("entry"))
