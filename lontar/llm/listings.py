@@ -2,19 +2,21 @@
 
 Plan
 ----
-1. ``features`` reads each advertisement once (Arrow batches): the house's name from the description and from the title
-   (what remains of it without the words that more than ``GENERIC`` of all titles use: offer, tenants, marketing,
-   places), the street address, sub-district, tenant type, room class, size in centimetres, price.
-2. Rows with the same features are copies: one stands for all, however many there are.
+1. ``features`` reads each advertisement once (Arrow batches): the house's name from the title and from the description
+   (the words that are not generic: offer, tenants, marketing, places; in the description, the first two or more of them
+   in a row), the street address, sub-district, tenant type, room class, size in centimetres, price.
+2. Rows with the same features are copies: one stands for all, however many there are, under the hash of the features.
 3. ``PASSES`` sort the representatives by differently ordered keys (title name, description name with its words turned
    round, street and number, number and street turned round) with a range partitioning, and compare each row with its
-   ``WINDOW`` predecessors; the rows at partition borders are compared in a second, small step. So a pass costs rows
-   times window, whatever key is frequent.
+   ``WINDOW`` predecessors. Where more rows than that share a key, each is also compared with the first row of every
+   state (place, tenant, class, size, price step) under the key: so no block is too large, and none is compared pair by
+   pair. Borders of partitions are compared in a small second step, each under its own key.
 4. Two rows describe one room if the house is the same (equal names or names whose words align softly, or equal or
    softly aligned streets with equal number; no contradicting sub-district), nothing stated contradicts, and class,
    size or price agree. Weights add up the evidence.
 5. ``clusters``: correlation clustering by parallel pivots. The most complete rows become pivots first; the others join
-   the neighbouring pivot of greatest weight; rounds go on until no link is left between open rows.
+   the neighbouring pivot of greatest weight; clusters are clustered again until no link is left between two that do not
+   contradict.
 
 Null and empty fields are unknown, which contradicts nothing and supports nothing. Rows without name and street stay
 alone. Repeated rows of an id count once; ids with differing rows are placed by each of them.
@@ -36,21 +38,20 @@ from lontar.llm import canonical
 from lontar.llm.addresses import parse_address
 from lontar.runtime import bounded_broadcast, cut_lineage
 
+#: A word is generic if this share of titles or descriptions uses it, at ``FEW`` different house numbers or more: a house
+#: has one, however many advertisements it has.
 GENERIC = 0.004
-#: Titles that a word must be in, however small the table, before it is generic.
 FEW = 12
 WINDOW = 16
 
-# How advertisements state room class, tenants, size and the house's name.
+# How advertisements state room class, tenants, and size.
 CLASSES = {"vip": r"v\.i\.p|vip", "suite": r"suite", "deluxe": r"deluxe|dlx", "economy": r"ekonomi|eko|hemat", "standard": r"standar[dt]?|std"}
 _CLASS = re.compile(r"\b(?:" + "|".join(f"(?P<{a}>{b})" for a, b in CLASSES.items()) + r")(?![a-z])")
 _SIZE = re.compile(r"\b(\d{1,3}(?:[.,]\d)?) ?(?:m|cm)? ?(?:x|×|kali) ?(\d{1,3}(?:[.,]\d)?)")
 _TENANT = re.compile(r"(?P<campur>putra ?/ ?putri|campur|bebas(?! (?:banjir|jam))|(?<!renang )(?<!pantry )umum|male or female)|(?P<putra>putra|cowok|laki-laki|pria|(?<!fe)male)|(?P<putri>putri|cewek|wanita|perempuan|female)")
-_TITLED = re.compile(r"(?:kami bernama|selamat datang di|nama kos:|this is) ((?:(?:wsm|pdk|pav|rmh|gry)\. *)?[^.\n]*)")
-_TAKES = " menerima penghuni"
-_ABBREVIATED = re.compile(r"\b(?:wsm|pdk|pav|rmh|gry)\. *[^.\n]*$")
 _PRICE = re.compile(r"\b(?:rp|idr) ?(\d{1,3}(?:[.,]\d{3})+)|\b(\d+(?:[.,]\d+)?) ?(jt|juta|rb|ribu|k)\b")
 _WORD = re.compile(r"[a-z]{4,}")
+_RUN = re.compile(r"[a-z]+")
 TENANTS = {"putra": 1, "putri": 2, "campur": 3}
 CLASS_CODES = {name: k for k, name in enumerate(CLASSES, 1)}
 
@@ -84,25 +85,35 @@ def read_room(title: str, text: str, kind: str) -> tuple[int, int, int]:
     return tenant, room, size
 
 
-def told_name(text: str) -> str:
-    """What a lower-case description says the house is called; the empty text if it does not."""
-    if m := _TITLED.search(text):
-        return m[1]
-    if (at := text.find(_TAKES)) >= 0:
-        sentence = text[max(text.rfind(".", 0, at), text.rfind("\n", 0, at)) + 1 : at]
-        if m := _ABBREVIATED.search(text[:at]):
-            sentence = m[0]
-        return sentence
-    return ""
+def told_name(text: str, generic: set[str]) -> list[str]:
+    """The words that may be the house's name in a lower-case description: the first two or more in a row, in one
+    sentence, that are not generic."""
+    for sentence in re.split(r"[.!?\n;:]", text):
+        run: list[str] = []
+        for w in [*_RUN.findall(sentence), ""]:
+            if len(w) >= 4 and w not in generic:
+                run.append(w)
+            elif len(run) >= 2:
+                return run
+            else:
+                run = []
+    return []
 
 
 def generic_words(listings: DataFrame) -> set[str]:
-    """The words that at least ``GENERIC`` of all titles use: at most 1 / GENERIC times a title's length of them."""
-    titles = listings.where(F.col("judul").isNotNull())
-    total = titles.count()
-    words = titles.select(F.explode(F.array_distinct(F.split(F.lower("judul"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"] for r in counted.where(F.col("n") >= max(FEW, GENERIC * total)).select("word").collect()}
+    """The words of at least ``GENERIC`` of all titles, or of all descriptions, at ``FEW`` different first numbers of the
+    address: at most 1 / GENERIC times the length of a title and a description of them."""
+    found: set[str] = set()
+    number = F.regexp_extract("alamat", r"\d+", 0)
+    for column in ("judul", "deskripsi"):
+        some = listings.where(F.col(column).isNotNull())
+        total = some.count()
+        words = some.select(F.when(number != "", number).alias("number"), F.explode(F.array_distinct(F.split(F.lower(column), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
+        # first the words by their number, which needs no shuffle of (word, number)
+        often = bounded_broadcast(cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(FEW, GENERIC * total)).select("word")))
+        spread = words.where("number is not null").join(often, "word", "left_semi").groupBy("word").agg(F.approx_count_distinct("number").alias("k"))
+        found |= {r["word"] for r in spread.where(F.col("k") >= FEW * 0.8).select("word").collect()}
+    return found
 
 
 def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
@@ -125,13 +136,13 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
             for id_, title, text, address, place, kind, price in zip(pdf["id"], pdf["judul"], pdf["deskripsi"], pdf["alamat"], pdf["place"], pdf["tipe"], pdf["harga_per_bulan"]):
                 title, text = (title or "").lower(), (text or "").lower()
                 called = [w for w in _WORD.findall(title) if w not in generic]
-                told = [w for w in _WORD.findall(told_name(text)) if w not in generic]
+                told = told_name(text, generic)
                 where = parse_address(address) if address else None
                 if not place and (m := named.search((address or "").lower()) or named.search(title) or named.search(text)):
                     place = proper[m[0]]
                 tenant, room, size = read_room(title, text, kind or "")
                 street, number = (where[0], "|".join(where[1:4])) if where else ("", "")
-                out.append((id_, " ".join(called[:4]), " ".join(told[:4]), street, number, place or "", tenant, room, size, room_price(price, text)))
+                out.append((id_, " ".join(called), " ".join(told), street, number, place or "", tenant, room, size, room_price(price, text)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
     return rows.join(bounded_broadcast(places), "kecamatan", "left").select("id", "judul", "deskripsi", "alamat", "place", "tipe", "harga_per_bulan").mapInPandas(run, FEATURES)
@@ -208,12 +219,45 @@ def _links(rows: list[tuple[int, int, float]]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array([r[0] for r in rows], dtype=np.int64), "b": np.array([r[1] for r in rows], dtype=np.int64), "weight": np.array([r[2] for r in rows], dtype=float)})
 
 
-def _windows(n: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of each of rows first..n-1 and each of its WINDOW predecessors."""
+def _windows(n: int, first: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of each of rows first..n-1 and each of its WINDOW predecessors, none before ``start``."""
     later = np.arange(first, n)
     i = np.concatenate([later - d for d in range(1, WINDOW + 1)])
     j = np.tile(later, WINDOW)
-    return i[i >= 0], j[i >= 0]
+    return i[i >= start], j[i >= start]
+
+
+_STATE = ("key_code", "place_code", "tenant", "class", "size", "number_code")
+
+
+def _states(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first row of every state under every key."""
+    step = np.floor(np.log(np.maximum(rows["price"].to_numpy(dtype=float), 1)) / PRICE).astype(int)
+    return rows[~rows.assign(step=step)[[*_STATE, "step"]].duplicated()]
+
+
+def _with_states(rows: pd.DataFrame, first: int, reps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows first.. that share a key with states farther back than the window, and those states. The first ``reps`` rows
+    are states of the key that the batch begins with."""
+    key = rows["key_code"].to_numpy()
+    pos = np.arange(len(rows))
+    heads = _states(rows).index.to_numpy()
+    sizes = pd.Series(key).groupby(key).size()
+    big = set(sizes[sizes > WINDOW].index)
+    if not big:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    left, right = [], []
+    by = {}
+    for h in heads:
+        if key[h] in big:
+            by.setdefault(key[h], []).append(h)
+    for k, hs in by.items():
+        own = pos[(key == k) & (pos >= first)]
+        for h in hs:
+            far = own[own > (h + WINDOW if h >= reps else h)]
+            left.append(np.full(len(far), h))
+            right.append(far)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _name_code(c: str) -> Column:
@@ -227,7 +271,7 @@ def _code(c: str) -> Column:
 
 def _codes() -> dict[str, Column]:
     """Integers for names (whatever the order of their words) and places, 0 for unknown, computed after the shuffle."""
-    return {"title_code": _name_code("title_name"), "text_code": _name_code("text_name"), "place_code": _code("place"), "street_code": _code("street"), "number_code": _code("number")}
+    return {"title_code": _name_code("title_name"), "text_code": _name_code("text_name"), "place_code": _code("place"), "street_code": _code("street"), "number_code": _code("number"), "key_code": _code("key")}
 
 
 def _pass_key(name: str) -> Column:
@@ -249,17 +293,28 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
     """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of the pass ``name``."""
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, carry, none = None, None, _links([])
+        head, carry, reps, opening, none = None, None, None, None, _links([])
         for pdf in batches:
-            both = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
-            known = 0 if carry is None else len(carry)
-            found = _compare(both, *_windows(len(both), known)) if len(both) > known else none
-            head = both.iloc[:WINDOW] if head is None or len(head) < WINDOW else head
-            carry = both.iloc[-WINDOW:].reset_index(drop=True)
+            if not len(pdf):
+                continue
+            parts = [x for x in (reps, carry) if x is not None] + [pdf]
+            both = pd.concat(parts, ignore_index=True) if len(parts) > 1 else pdf.reset_index(drop=True)
+            n, known = 0 if reps is None else len(reps), len(both) - len(pdf)
+            i, j = _windows(len(both), known, n)
+            p, q = _with_states(both, known, n)
+            found = _compare(both, np.concatenate([i, p]), np.concatenate([j, q])) if len(both) > known else none
+            head = both.iloc[n : n + WINDOW].reset_index(drop=True) if head is None or len(head) < WINDOW else head
+            carry = both.iloc[n:].iloc[-WINDOW:].reset_index(drop=True)
+            key = both["key_code"].to_numpy()
+            firsts = _states(both[key == key[n]])
+            if opening is None or len(firsts) and opening["key_code"].iloc[0] == key[n]:
+                opening = firsts if opening is None else _states(pd.concat([opening, firsts], ignore_index=True))
+            # states of the last key that the carried rows do not hold themselves
+            reps = _states(both[key == key[-1]]).reset_index(drop=True)
             if len(found):
                 yield found.assign(border=None, at=None)
         if carry is not None:
-            border = pickle.dumps((head, carry))
+            border = pickle.dumps((head, carry, opening.reset_index(drop=True), reps))
             yield pd.DataFrame({"a": [0], "b": [0], "weight": [0.0], "border": [border], "at": [TaskContext.get().partitionId()]})
 
     keyed = rows.select("id", *_READ, _pass_key(name).alias("key")).where(F.col("key") != "")
@@ -267,20 +322,29 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(_codes()).drop("key", "place", "number")
     slid = cut_lineage(ordered.mapInPandas(slide, _MATCH))
 
+    # each partition meets those before it, as far back as the window reaches: numbers of partitions, not rows
+    filled = sorted(r["at"] for r in slid.where("border is not null").select("at").collect())
+    meets = [(at, k) for n, at in enumerate(filled) for k in filled[max(0, n - 1) : n + 1]]
+    frame = slid.where("border is not null").select("at", "border")
+    turns = rows.sparkSession.createDataFrame(meets or [(-1, -1)], "turn int, at int")
+
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows at the borders of partitions, in order; a border row meets those of the partitions before it."""
-        before, out = None, []
-        for raw in pdf.sort_values("at")["border"]:
-            head, tail = pickle.loads(raw)
-            if before is not None:
-                both = pd.concat([before, head], ignore_index=True)
-                i, j = _windows(len(both), len(before))
-                crossing = i < len(before)
-                out += _compare(both, i[crossing], j[crossing]).itertuples(index=False, name=None)
-            before = pd.concat([before, tail], ignore_index=True).iloc[-WINDOW:] if before is not None and len(tail) < WINDOW else tail
-        return _links(out)
-
-    at_borders = slid.where("border is not null").select("at", "border", F.lit("all").alias("one")).groupBy("one").applyInPandas(borders, "a bigint, b bigint, weight double")
+        """The end of one partition and the beginning of the next."""
+        two = [pickle.loads(raw) for raw in pdf.sort_values("at")["border"]]
+        if len(two) < 2:
+            return _links([])
+        (_, tail, _, last), (head, _, opening, _) = two
+        both = pd.concat([tail, head], ignore_index=True)
+        i, j = _windows(len(both), len(tail))
+        crossing = i < len(tail)
+        out = [_compare(both, i[crossing], j[crossing])]
+        if len(last) and len(opening) and last["key_code"].iloc[0] == opening["key_code"].iloc[0]:
+            states = pd.concat([last, opening], ignore_index=True)
+            a, b = np.meshgrid(np.arange(len(last)), np.arange(len(last), len(states)), indexing="ij")
+            out.append(_compare(states, a.ravel(), b.ravel()))
+        return pd.concat(out, ignore_index=True)
+
+    at_borders = frame.join(F.broadcast(turns), "at").groupBy("turn").applyInPandas(borders, "a bigint, b bigint, weight double")
     return slid.where("border is null").select("a", "b", "weight").unionByName(at_borders)
 
 
@@ -308,16 +372,16 @@ def _pivots(edges: DataFrame) -> DataFrame | None:
     return out
 
 
-def clusters(nodes: DataFrame, links: DataFrame, levels: int = 3) -> DataFrame:
+def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, cluster) by correlation clustering; nodes without links do not appear.
 
     ``nodes`` (id, rank, and the columns that may contradict: 0 is unknown), ``links`` (a, b, weight), a < b. After the
     first pivots, clusters that are still linked and whose stated columns, taken together, do not contradict are
-    clustered again, up to ``levels`` times: the chain from a row known by name only over one with both to one known by
+    clustered again until no such link is left: the chain from a row known by name only over one with both to one known by
     address only is closed that way.
     """
     placed, states, open_ = None, nodes.select("id", "rank", *_STATED), links
-    for _ in range(levels):
+    while True:  # every turn merges clusters, or is the last
         left = states.select(F.col("id").alias("a"), F.col("rank").alias("rank_a"), *(F.col(c).alias(f"{c}_a") for c in _STATED))
         right = states.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"), *(F.col(c).alias(f"{c}_b") for c in _STATED))
         agree = F.lit(True)
@@ -349,10 +413,9 @@ def clusters(nodes: DataFrame, links: DataFrame, levels: int = 3) -> DataFrame:
 
 def room_clusters(listings: DataFrame, districts: DataFrame) -> DataFrame:
     """(id, room): listings of one room share the value of ``room``; every id that has an advertisement is there."""
-    read = features(listings, districts)
-    groups = read.groupBy(*_READ).agg(F.collect_set("id").alias("ids"))
-    groups = cut_lineage(groups.withColumn("id", F.monotonically_increasing_id()))
-    rooms = groups.select("id", *_READ)
+    read = features(listings, districts).withColumn("node", F.xxhash64(*_READ))
+    read = cut_lineage(read.withColumn("alone", F.concat_ws("", "title_name", "text_name", "street") == ""))
+    rooms = cut_lineage(read.where("not alone").groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in _READ)))
     found = None
     for p in PASSES:
         step = sorted_neighbours(rooms, p)
@@ -364,8 +427,11 @@ def room_clusters(listings: DataFrame, districts: DataFrame) -> DataFrame:
     rank = 10 - (named + F.when(F.col("street") != "", 2).otherwise(0) + known("class") + known("size") + known("price"))
     nodes = rooms.join(linked, "id", "left_semi").select("id", rank.alias("rank"), "tenant", "class", "size", _code("number").alias("number_code"))
     placed = clusters(cut_lineage(nodes), links)
-    home = groups.select(F.col("id").alias("node"), "ids").join(placed, "node", "left")
-    return home.select(F.explode("ids").alias("id"), F.coalesce("cluster", "node").alias("room")).distinct()
+    home = read.where("not alone").select("id", "node").distinct().join(placed, "node", "left")
+    housed = home.select("id", F.concat(F.lit("room "), F.coalesce("cluster", "node")).alias("room"))
+    # rows that say nothing of the house: a room of their own, unless another row of the id says more
+    rest = read.where("alone").select("id").distinct().join(read.where("not alone").select("id").distinct(), "id", "left_anti")
+    return housed.unionByName(rest.select("id", F.concat(F.lit("only "), "id").alias("room"))).distinct()
 
 
 def room_pairs(listings: DataFrame, districts: DataFrame) -> DataFrame:

@@ -51,6 +51,17 @@ def test_many_copies_are_one_row(spark):
     assert len(found(spark, rows)) == 60 * 59 // 2
 
 
+def test_listings_without_name_and_street_stay_alone(spark):
+    assert found(spark, [(None, None, None, None, "putra", 800_000)] * 2 + [("Kos putra", "Luas 3x4 m.", "", "Rawa Kencanti", "putra", 800_000)] * 2) == set()
+
+
+def test_a_crowded_house_is_compared_beyond_the_window(spark):
+    """Sixty different rows of one name: rooms of three classes come out whole, though most lie farther apart than a window."""
+    rows = [("Kos putra Tilonilwi Jaretur " + ("std", "vip", "deluxe")[k % 3], f"Luas {3 + k % 3}x4 m.", f"Jl. Canmemur No. 9, RT {k // 3 + 1}" if k % 2 else None, ("Rawa Kencanti", None)[k % 4 == 0], "putra", (800_000, 1_000_000, 1_300_000)[k % 3] + 100 * k) for k in range(60)]
+    want = {(f"{a:03}", f"{b:03}") for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
+    assert found(spark, rows) == want
+
+
 def test_windows_cross_partition_borders(spark):
     wide = spark.createDataFrame([(f"{i:05}{s}", f"Kos putra Tilo{i:05}".replace("0", "a").replace("1", "b").replace("2", "c").replace("3", "d").replace("4", "e").replace("5", "f").replace("6", "g").replace("7", "h").replace("8", "i").replace("9", "j") + " Jaretur std", text, None, "Rawa Kencanti", "putra", 800_000, "", "", "") for i in range(300) for s, text in (("x", "Luas 3x4 m."), ("y", "Kamar."))], SCHEMA)
     got = {(r.id_a[:5], r.id_b[:5]) for r in L.room_pairs(wide, spark.createDataFrame(DISTRICTS, "entry string, aliases array<string>")).collect()}
