@@ -51,7 +51,7 @@ _SIZE = re.compile(r"\b(\d{1,3}(?:[.,]\d)?) ?(?:m|cm)? ?(?:x|×|kali) ?(\d{1,3}(
 _TENANT = re.compile(r"(?P<campur>putra ?/ ?putri|campur|bebas(?! (?:banjir|jam))|(?<!renang )(?<!pantry )umum|male or female)|(?P<putra>putra|cowok|laki-laki|pria|(?<!fe)male)|(?P<putri>putri|cewek|wanita|perempuan|female)")
 _PRICE = re.compile(r"\b(?:rp|idr) ?(\d{1,3}(?:[.,]\d{3})+)|\b(\d+(?:[.,]\d+)?) ?(jt|juta|rb|ribu|k)\b")
 _WORD = re.compile(r"[a-z]{4,}")
-_RUN = re.compile(r"[a-z]+")
+_RUN = re.compile(r"[a-z]+|[.!?\n;:]")
 TENANTS = {"putra": 1, "putri": 2, "campur": 3}
 CLASS_CODES = {name: k for k, name in enumerate(CLASSES, 1)}
 
@@ -88,31 +88,33 @@ def read_room(title: str, text: str, kind: str) -> tuple[int, int, int]:
 def told_name(text: str, generic: set[str]) -> list[str]:
     """The words that may be the house's name in a lower-case description: the first two or more in a row, in one
     sentence, that are not generic."""
-    for sentence in re.split(r"[.!?\n;:]", text):
-        run: list[str] = []
-        for w in [*_RUN.findall(sentence), ""]:
-            if len(w) >= 4 and w not in generic:
-                run.append(w)
-            elif len(run) >= 2:
-                return run
-            else:
-                run = []
+    words = _RUN.findall(text)
+    if sum(len(w) >= 4 and w not in generic for w in words) < 2:
+        return []
+    run: list[str] = []
+    for w in [*words, "."]:
+        if len(w) >= 4 and w not in generic:
+            run.append(w)
+        elif len(run) >= 2:
+            return run
+        else:
+            run = []
     return []
 
 
 def generic_words(listings: DataFrame) -> set[str]:
     """The words of at least ``GENERIC`` of all titles, or of all descriptions, at ``FEW`` different first numbers of the
-    address: at most 1 / GENERIC times the length of a title and a description of them."""
+    address (told apart modulo 61, a bit each): at most 1 / GENERIC times the length of a title and a description of them."""
     found: set[str] = set()
-    number = F.regexp_extract("alamat", r"\d+", 0)
+    number = F.regexp_extract("alamat", r"\d{1,9}", 0)
+    bit = F.when(number != "", F.expr("shiftleft(1L, cast(pmod(cast(regexp_extract(alamat, '[0-9]{1,9}', 0) as bigint), 61) as int))")).otherwise(F.lit(0).cast("bigint"))
     for column in ("judul", "deskripsi"):
         some = listings.where(F.col(column).isNotNull())
         total = some.count()
-        words = some.select(F.when(number != "", number).alias("number"), F.explode(F.array_distinct(F.split(F.lower(column), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
-        # first the words by their number, which needs no shuffle of (word, number)
-        often = bounded_broadcast(cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(FEW, GENERIC * total)).select("word")))
-        spread = words.where("number is not null").join(often, "word", "left_semi").groupBy("word").agg(F.approx_count_distinct("number").alias("k"))
-        found |= {r["word"] for r in spread.where(F.col("k") >= FEW * 0.8).select("word").collect()}
+        words = some.select(bit.alias("bit"), F.explode(F.array_distinct(F.split(F.lower(column), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
+        counted = words.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+        generic = counted.where((F.col("n") >= max(FEW, GENERIC * total)) & (F.bit_count("bits") >= FEW))
+        found |= {r["word"] for r in generic.select("word").collect()}
     return found
 
 
