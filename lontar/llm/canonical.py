@@ -3,11 +3,12 @@
 Plan
 ----
 1. Distinct values only: whatever the number of rows, each spelling is worked on once.
-2. A value is read in several ways (as typed, and without leading or trailing decoration such as "plus", "(baru)" or
-   the town's name), the list under entries, their aliases and abbreviations of one word.
+2. A value is read in several ways: as typed, and without leading or trailing decoration. What is decoration is told by
+   the values: words that stand before or after ``ENTRIES`` different entries. The list is read under entries, their
+   aliases and abbreviations of one word.
 3. ``prefix_filter_join`` on character bigrams: rare prefixes, length and positional filters, exact Jaccard.
 4. An exact check follows on the candidates: the edit distance (swaps count one) may be about a quarter of the
-   length; the least distance wins, then a spelled-out form over an abbreviation, then the greater Jaccard, then the
+   length. The greatest Jaccard wins, then the least distance, then a spelled-out form over an abbreviation, then the
    entry first by code point. Values without a candidate that passes mean no entry: UNMATCHED.
 
 Null and blank values (white space of any script) are left out; repeated rows count once.
@@ -27,13 +28,15 @@ from lontar.runtime import bounded_broadcast, cut_lineage
 
 UNMATCHED = "UNMATCHED"
 
-# Words that sellers put before or after a value, without blanks.
-BEFORE = ("kecamatan", "kec", "tersedia", "bonus", "free", "plus", "ada")
-AFTER = ("kotabandarserundai", "bandarserundai", "tersedia", "bersama", "gratis", "kota", "baru", "1unit", "unit")
+#: Different entries that words must stand before, or after, to be decoration.
+ENTRIES = 3
 #: Least Jaccard similarity of bigrams for a candidate: two letters swapped in a word of five leave 1/3.
 CANDIDATE = 0.3
 
 
+_SIGNS = re.compile(r"[\W_]+")
+
+
 def blank(value: Column) -> Column:
     return value.isNull() | value.rlike(r"(?U)^[\s\p{Z}\p{C}]*$")
 
@@ -63,13 +66,24 @@ def tight(value: str) -> str:
     return "".join(c for c in value.lower() if c.isalnum())
 
 
-def readings(value: str) -> set[str]:
+def decoration(value: str, forms: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(side, words, entry): what stands before (up to two words) or after (up to three) a form of an entry in ``value``."""
+    words, found = [x for x in _SIGNS.split(value.lower()) if x], []
+    for side, most in (("before", 2), ("after", 3)):
+        for n in range(1, min(most, len(words) - 1) + 1):
+            part, rest = (words[:n], words[n:]) if side == "before" else (words[-n:], words[:-n])
+            if entry := forms.get("".join(rest)):
+                found.append((side, "".join(part), entry))
+    return found
+
+
+def readings(value: str, before: list[str], after: list[str]) -> set[str]:
     """The value without blanks and signs, and what remains when decoration is taken off its ends."""
     whole = tight(value)
     found = {whole}
     for _ in range(2):  # one word off each end, or two off one
         for s in list(found):
-            for words, front in ((BEFORE, True), (AFTER, False)):
+            for words, front in ((before, True), (after, False)):
                 for w in words:
                     slack = 0 if len(w) < 4 else 1 if len(w) < 9 else 2
                     for n in range(len(w) - slack, len(w) + slack + 1):
@@ -101,11 +115,6 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
     (field_name, entry, aliases). ``canonical`` is a reference list and may have null or empty aliases. ``candidate`` is the
     least similarity of bigrams at which an entry is considered; long names need less leeway than short ones."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, v, x) for f, v in zip(pdf["field_name"], pdf["raw_value"]) for x in readings(v)]
-            yield pd.DataFrame(rows, columns=["field_name", "raw_value", "form"])
-
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -116,6 +125,29 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
 
     shape = "field_name string, raw_value string, form string"
     entries = cut_lineage(canonical.select("field_name", "entry", "aliases").dropna(subset=["field_name", "entry"]).distinct().mapInPandas(spell, "field_name string, entry string, form string, short int"))
+    # the reference list itself goes to the tasks: what people have entered by hand, entry by entry
+    full = {(r["field_name"], r["form"]): r["entry"] for r in entries.where("short = 0").select("field_name", "form", "entry").collect()}
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str, dict[str, str]] = {}
+        for (f, form), e in full.items():
+            by.setdefault(f, {})[form] = e
+        for pdf in batches:
+            rows = [(f, *x) for f, v in zip(pdf["field_name"], pdf["raw_value"]) for x in decoration(v, by.get(f, {}))]
+            yield pd.DataFrame(rows, columns=["field_name", "side", "words", "entry"])
+
+    around = values.mapInPandas(look, "field_name string, side string, words string, entry string").groupBy("field_name", "side", "words").agg(F.count_distinct("entry").alias("k")).where(F.col("k") >= ENTRIES)
+    # bounded: each stands beside three entries, and none is longer than three words
+    taken: dict[tuple[str, str], list[str]] = {}
+    for r in around.collect():
+        taken.setdefault((r["field_name"], r["side"]), []).append(r["words"])
+    taken = {k: sorted(v) for k, v in taken.items()}
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, v, x) for f, v in zip(pdf["field_name"], pdf["raw_value"]) for x in readings(v, taken.get((f, "before"), []), taken.get((f, "after"), []))]
+            yield pd.DataFrame(rows, columns=["field_name", "raw_value", "form"])
+
     # sets of very different size are never that similar: what is far longer than any entry needs no bigrams
     longest = entries.agg(F.coalesce(F.max(F.length("form")), F.lit(0))).first()[0]
     forms = cut_lineage(values.mapInPandas(read, shape).where((F.length("form") + 1) * candidate <= longest + 1))
@@ -134,7 +166,7 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
     flat = near.select(F.col("l.field_name").alias("field_name"), F.col("l.form").alias("form"), F.col("r.form").alias("near"), "jaccard")
     close = flat.mapInPandas(verify, "field_name string, form string, near string, jaccard double, d int")
     meant = close.join(bounded_broadcast(entries.withColumnRenamed("form", "near")), ["field_name", "near"])
-    best = forms.join(meant, ["field_name", "form"]).groupBy("field_name", "raw_value").agg(F.min_by("entry", F.struct("d", "short", -F.col("jaccard"), "entry")).alias("entry"))
+    best = forms.join(meant, ["field_name", "form"]).groupBy("field_name", "raw_value").agg(F.min_by("entry", F.struct(-F.col("jaccard"), "d", "short", "entry")).alias("entry"))
     return values.join(best, ["field_name", "raw_value"], "left").withColumn("entry", F.coalesce("entry", F.lit(UNMATCHED)))
 
 

@@ -29,11 +29,24 @@ def values(spark, rows):
     return {(r.id, r.raw_value): r.entry for r in C.canonical_entries(df, canonical).collect()}
 
 
+#: What other rows say: each decoration beside three entries.
+AROUND = [("9", k, [f"{b}{e}{a}" for e in ("ac", "jendela", "kasur", "kursi") for b, a in (("plus ", ""), ("free ", ""), ("", " (baru)"), ("", " bersama"), ("", " 1unit"))]) for k in ("Kec. Karang Tirtasa", "kec. wanaseruni barat", "Kec Karang Tirtasa Utara", "Karang Tirtasa - Bandar Serundai", "Wanaseruni Barat, Bandar Serundai", "Karang Tirtasa Utara Bandar Serundai", "karang tirtasa utara kota", "wanaseruni barat kota", "karang tirtasa kota")]
+
+
+def test_decoration_needs_evidence(spark):
+    alone = values(spark, [("1", "karang tirtasa seberang", ["hadiah kursi"])])
+    assert set(alone.values()) == {"UNMATCHED"}
+    more = values(spark, [("1", f"{e} seberang", None) for e in ("karang tirtasa", "wanaseruni barat", "karang tirtasa utara")])
+    assert more["1", "karang tirtasa seberang"] == "Karang Tirtasa"
+
+
 def test_values(spark):
     typed = {"plus kursi": "Kursi", "KUSRI": "Kursi", "bngku (baru)": "Kursi", "Air  Conditioner;": "AC", "dapur bersama": "Dapur Bersama", "Jendela Bersama": "Jendela", "mesin fotokopi": "UNMATCHED", "tv": "UNMATCHED", "freeKasur1unit": "Kasur"}
-    got = values(spark, [("1", "Kec. Wanaseruni Brt - Bandar Serundai", [*typed, "AC", "  ", "\xa0", None])])
+    got = values(spark, [("1", "Kec. Wanaseruni Brt - Bandar Serundai", [*typed, "AC", "  ", "\xa0", None]), *AROUND])
+    got = {k: v for k, v in got.items() if k[0] == "1"}
     assert got == {("1", "Kec. Wanaseruni Brt - Bandar Serundai"): "Wanaseruni Barat"} | {("1", k): v for k, v in typed.items()}
-    assert values(spark, [("1", "karang tirtasa kota", None)]) == {("1", "karang tirtasa kota"): "Karang Tirtasa"}
+    got = values(spark, [("1", "karang tirtasa kota", None), *AROUND])
+    assert {k: v for k, v in got.items() if k[0] == "1"} == {("1", "karang tirtasa kota"): "Karang Tirtasa"}
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "x", ["y"])], [("1", None, None)], [("1", "", [])]])
