@@ -103,7 +103,7 @@ def told_name(text: str, generic: set[str]) -> list[str]:
 
 
 def generic_words(listings: DataFrame) -> set[str]:
-    """The words of at least ``GENERIC`` of all titles, or of all descriptions, at ``FEW`` different first numbers of the
+    """The words used at least ``GENERIC`` times as often as there are titles, or descriptions, at ``FEW`` different first numbers of the
     address (told apart modulo 61, a bit each): at most 1 / GENERIC times the length of a title and a description of them."""
     found: set[str] = set()
     number = F.regexp_extract("alamat", r"\d{1,9}", 0)
@@ -111,8 +111,11 @@ def generic_words(listings: DataFrame) -> set[str]:
     for column in ("judul", "deskripsi"):
         some = listings.where(F.col(column).isNotNull())
         total = some.count()
-        words = some.select(bit.alias("bit"), F.explode(F.array_distinct(F.split(F.lower(column), "[^a-z]+"))).alias("word")).where(F.length("word") >= 4)
-        counted = words.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+        # whatever stands between blanks is counted first, so that expressions cut a few different spellings, not every text
+        raw = some.select(bit.alias("bit"), F.explode(F.split(F.translate(F.lower(column), "\n\r\t", "   "), " ")).alias("word")).where(F.length("word") >= 4)
+        raw = raw.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+        words = raw.select("n", "bits", F.explode(F.split("word", "[^a-z]+")).alias("word")).where(F.length("word") >= 4)
+        counted = words.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
         generic = counted.where((F.col("n") >= max(FEW, GENERIC * total)) & (F.bit_count("bits") >= FEW))
         found |= {r["word"] for r in generic.select("word").collect()}
     return found
