@@ -42,6 +42,31 @@ def weight_grid(kept: DataFrame, judged: DataFrame, settings: list[tuple[float,
     return M.summary(M.ranking_metrics(out, judged))
 
 
+def bm25_grid(docs: DataFrame, queries: DataFrame, judged: DataFrame, k1s: list[float], bs: list[float]) -> DataFrame:
+    """(model, map ...) of BM25 within the judged pool for every k1 and b; model is "k1/b".
+
+    docs (doc_id, tokens), queries (query_id, tokens). Statistics are those of all documents. The settings are a small
+    table joined to the matches of the pool, so that one plan scores all of them; a judged document without a match
+    scores 0, one that does not exist is not ranked.
+    """
+    index, one = R.bm25_index(docs)
+    pool = judged.select("query_id", "doc_id").distinct()
+    pooled = docs.join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.size("tokens").alias("dl"), "tokens")
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    told = pooled.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    met = pool.join(asked, "query_id").join(told, ["doc_id", "term"]).join(index.select("term", "idf"), "term")
+    met = met.crossJoin(F.broadcast(one)).select("query_id", "doc_id", "tf", (F.col("dl") / F.col("avgdl")).alias("long"), (F.col("times") * F.col("idf")).alias("idf"))  # one row
+    settings = F.explode(F.array(*(F.struct(F.lit(f"{k1}/{b}").alias("model"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1 in k1s for b in bs)))
+    weight = F.col("idf") * F.col("tf") * (F.col("s.k1") + 1) / (F.col("tf") + F.col("s.k1") * (1 - F.col("s.b") + F.col("s.b") * F.col("long")))
+    scored = met.withColumn("s", settings).select("s.model", "query_id", "doc_id", weight.alias("w"))
+    zeros = pool.join(pooled.select("doc_id"), "doc_id", "left_semi").withColumn("s", settings).select("s.model", "query_id", "doc_id", F.lit(0.0).alias("w"))
+    total = scored.unionByName(zeros).groupBy("model", "query_id", "doc_id").agg(F.sum("w").alias("score"))
+    # ranked as one query a setting, so that no window holds all settings of a query
+    hits = total.select(F.struct("model", "query_id").alias("query_id"), "doc_id", "score")
+    ranked = R.top_ranks(hits, None).select("query_id.model", "query_id.query_id", "doc_id", "rank")
+    return M.summary(M.ranking_metrics(ranked, judged))
+
+
 def ablation(docs: DataFrame, queries: DataFrame, judged: DataFrame, base: PipelineConfig | None = None, k: int = 10) -> DataFrame:
     """(model, map, delta) of BM25 with every stage of the pipeline left out in turn; docs (doc_id, text), queries (query_id, text)."""
     base = base or PipelineConfig(stem=False)

@@ -59,8 +59,10 @@ def a23_difficulty(spark, folder):
 
 
 def a24_pivot(spark, folder):
-    """Average precision, queries by the first three models."""
-    return _metrics(spark, folder).groupBy("query_id").pivot("model", ["penilai_01", "penilai_02", "penilai_03"]).agg(F.round(F.first("ap"), 6))
+    """Average precision, queries by all models. Models are people, so their names are few."""
+    m = _metrics(spark, folder)
+    names = sorted(r["model"] for r in _votes(spark, folder).select(F.col("annotator").alias("model")).distinct().collect())
+    return m.groupBy("query_id").pivot("model", names).agg(F.round(F.first("ap"), 6))
 
 
 def t04_worst_queries(spark, folder):
@@ -128,12 +130,13 @@ def s05_keep_last_label(spark, folder):
 
 
 def j04_three_way(spark, folder):
-    """Agreement of the first three annotators on the items that all of them labelled."""
+    """Agreement of every three annotators on the items that all of them labelled."""
     votes = _votes(spark, folder)
-    one = lambda n, c: votes.where(F.col("annotator") == n).select("query_id", "doc_id", F.col("vote").alias(c))
-    all_ = one("penilai_01", "a").join(one("penilai_02", "b"), ["query_id", "doc_id"]).join(one("penilai_04", "c"), ["query_id", "doc_id"])
-    same = ((F.col("a") == F.col("b")) & (F.col("b") == F.col("c"))).cast("bigint")
-    return all_.agg(F.count("*").alias("n"), F.coalesce(F.sum(same), F.lit(0)).alias("agree"))
+    one = lambda n, c: votes.select("query_id", "doc_id", F.col("annotator").alias(n), F.col("vote").alias(c))
+    two = one("a", "x").join(one("b", "y"), ["query_id", "doc_id"]).where("a < b")
+    three = two.join(one("c", "z"), ["query_id", "doc_id"]).where("b < c")
+    same = ((F.col("x") == F.col("y")) & (F.col("y") == F.col("z"))).cast("bigint")
+    return three.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.sum(same).alias("agree"))
 
 
 def a27_out_of_range(spark, folder):
@@ -149,7 +152,7 @@ def e29_drill_down(spark, folder):
 
 
 def s07_unpivot(spark, folder):
-    """Means per model of a wide table of average precisions."""
+    """Means per model of a wide table of average precisions, all models."""
     from lontar.sources.readers import unpivot_models
 
     wide = a24_pivot(spark, folder)
@@ -193,7 +196,8 @@ ORACLE = {
     "e01_e05_metrics": f"{_M} select model, query_id, round(p_at_5, 6) as p_at_5, round(p_at_10, 6) as p_at_10, round(ap, 6) as ap, round(ndcg_at_10, 6) as ndcg_at_10, round(rr, 6) as rr from m",
     "a01_model_means": f"{_M} select model, round(avg(p_at_5), 6) as p_at_5, round(avg(p_at_10), 6) as p_at_10, round(avg(ap), 6) as map, round(avg(ndcg_at_10), 6) as ndcg_at_10, round(avg(rr), 6) as rr, count(*) as queries from m group by model",
     "a23_difficulty": f"{_M} select query_id, round(avg(ap), 6) as mean_ap, case when avg(ap) < 0.1e0 then 'hard' when avg(ap) < 0.3e0 then 'medium' else 'easy' end as band from m group by query_id",
-    "a24_pivot": f"{_M} select query_id, round(max(ap) filter (model = 'penilai_01'), 6) as penilai_01, round(max(ap) filter (model = 'penilai_02'), 6) as penilai_02, round(max(ap) filter (model = 'penilai_03'), 6) as penilai_03 from m group by query_id",
+    # one column a model: the tables have eighteen, numbered through
+    "a24_pivot": f"{_M} select query_id, " + ", ".join(f"round(max(ap) filter (model = 'penilai_{k:02}'), 6) as penilai_{k:02}" for k in range(1, 19)) + " from m group by query_id",
     "t04_worst_queries": f"{_M} select query_id, round(avg(ap), 6) as mean_ap from m group by query_id order by 2, 1 limit 10",
     "e07_kappa": f"""with {_V}, cells as (select a, b, x, y, count(*) as n from pairs group by all), t as {_K.format(w='(x <> y)::int')},
         k as (select a, b, n, round(case when e > 0 then 1 - (o * 1e0 / n) / (e * 1e0 / (n * n)) when o > 0 then 0 else 1 end, 6) as kappa from t join e using (a, b))
@@ -217,10 +221,10 @@ ORACLE = {
     "j14_orphans": """select 'listing' as missing, count(*) as n from relevance_labels where listing_id not in (select id from listings)
         union all select 'query', count(*) from relevance_labels where query_id not in (select id from queries)""",
     "s05_keep_last_label": "select query_id, listing_id, arg_max(relevance, struct_pack(t := labelled_at, r := relevance)) as relevance from relevance_labels where relevance in (0, 1, 2) group by all",
-    "j04_three_way": f"""with {_V} select count(*) as n, count(*) filter (a.vote = b.vote and b.vote = c.vote) as agree from votes a join votes b using (query_id, doc_id) join votes c using (query_id, doc_id)
-        where a.annotator = 'penilai_01' and b.annotator = 'penilai_02' and c.annotator = 'penilai_04'""",
+    "j04_three_way": f"""with {_V} select a.annotator as a, b.annotator as b, c.annotator as c, count(*) as n, count(*) filter (a.vote = b.vote and b.vote = c.vote) as agree
+        from votes a join votes b using (query_id, doc_id) join votes c using (query_id, doc_id) where a.annotator < b.annotator and b.annotator < c.annotator group by all""",
     "a27_out_of_range": f"{_M} select " + ", ".join(f"count(*) filter ({c} is null or not {c} between 0 and 1) as {c}" for c in ("p_at_5", "p_at_10", "ap", "ndcg_at_10", "rr")) + " from m",
     "e29_drill_down": f"{_M} select model, round(ap, 6) as ap, round(rr, 6) as rr from m where query_id = 'q001'",
-    "s07_unpivot": f"{_M} select model, round(avg(round(ap, 6)), 6) as mean from m where model in ('penilai_01', 'penilai_02', 'penilai_03') group by model",
+    "s07_unpivot": f"{_M} select model, round(avg(round(ap, 6)), 6) as mean from m group by model",
     "u02_candidates": f"with {_V} select query_id, doc_id, max(s) as score from (select query_id, doc_id, vote as s from votes union all select query_id, listing_id, relevance from relevance_consensus) group by all",
 }

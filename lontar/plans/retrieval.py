@@ -68,18 +68,7 @@ def r13_popularity(spark, folder):
     return _shown(R.top_ranks(R.popularity_blend(hits, views), 10))
 
 
-def e17_bm25_grid(spark, folder):
-    """Mean best score of six settings of k1 and b."""
-    docs, asked = _docs(spark, folder), _queries(spark, folder)
-    index, out = R.bm25_index(docs), None
-    for k1 in (0.9, 1.5):
-        for b in (0.3, 0.5, 0.75):
-            one = R.bm25(docs, asked, 1, k1, b, index).agg(F.round(F.avg("score"), 6).alias("mean_best")).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "mean_best")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-QUERIES = {f.__name__: f for f in (r01_bm25, r02_tfidf, r03_dense, r04_hybrid, a05_index_statistics, w02_min_max, r13_popularity, e17_bm25_grid)}
+QUERIES = {f.__name__: f for f in (r01_bm25, r02_tfidf, r03_dense, r04_hybrid, a05_index_statistics, w02_min_max, r13_popularity)}
 
 _BM25 = """docs as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9_]+') as t from documents),
   post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from docs) group by all),
@@ -123,8 +112,9 @@ ORACLE = {
     "r04_hybrid": f"""with {_bm25()},
         v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
         n as (select vec_id, e, sqrt(list_dot_product(e, e)) as l from v),
-        d as (select q.id as query_id, b.vec_id as doc_id, list_dot_product(a.e, b.e) / a.l / b.l as d from queries q join n a on a.vec_id = cast(regexp_extract(q.id, '[0-9]+') as bigint) cross join (select x.doc_id as vec_id, n.e, n.l from documents x join n on n.vec_id = x.doc_id % 500) b),
-        m as (select s.query_id, s.doc_id, score as l, coalesce(d, 0e0) as d from scores s left join d using (query_id, doc_id) where s.doc_id % 500 in (select vec_id from embeddings)),
+        placed as (select e, l, row_number() over (order by vec_id) - 1 as place from n),
+        d as (select q.id as query_id, b.vec_id as doc_id, list_dot_product(a.e, b.e) / a.l / b.l as d from queries q join n a on a.vec_id = cast(regexp_extract(q.id, '[0-9]+') as bigint) cross join (select x.doc_id as vec_id, p.e, p.l from documents x join placed p on p.place = x.doc_id % (select count(*) from n)) b),
+        m as (select s.query_id, s.doc_id, score as l, coalesce(d, 0e0) as d from scores s left join d using (query_id, doc_id)),
         r as (select *, min(l) over w as l0, max(l) over w as l1, min(d) over w as d0, max(d) over w as d1 from m window w as (partition by query_id)),
         f as (select query_id, doc_id, 0.9e0 * case when l1 - l0 < 1e-9 then 0 else (l - l0) / (l1 - l0) end + (1 - 0.9e0) * case when d1 - d0 < 1e-9 then 0 else (d - d0) / (d1 - d0) end as score from r)
         {_TOP.format('f', 10)}""",
@@ -136,5 +126,4 @@ ORACLE = {
         m as (select t.query_id, t.doc_id, s.score, ln(1e0 + coalesce(d.n_chars, 0)) as v from top t join scores s using (query_id, doc_id) join documents d on d.doc_id = t.doc_id),
         f as (select query_id, doc_id, (1 - 0.2e0) * score + 0.2e0 * case when max(v) over (partition by query_id) > 0 then v / max(v) over (partition by query_id) else 0 end as score from m)
         {_TOP.format('f', 10)}""",
-    "e17_bm25_grid": " union all ".join(f"(with {_bm25(f'{k1}e0', f'{b}e0')}, top as (select max(score) as s from scores group by query_id) select {k1}e0 as k1, {b}e0 as b, round(avg(s), 6) as mean_best from top)" for k1 in (0.9, 1.5) for b in (0.3, 0.5, 0.75)),
 }

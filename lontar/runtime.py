@@ -41,6 +41,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, read straight from files, dealt to all cores where its files make fewer parts than that: for small tables
+    before stages that work long on each row. Large tables have parts enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that all executors share: spark.checkpoint.dir where the cluster names one. Only a local session, whose
     executors are the driver, gets a folder of our own; elsewhere a missing setting is an error."""

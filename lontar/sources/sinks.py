@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lontar.operators import quality as Q
 from lontar.runtime import cut_lineage
@@ -23,6 +24,13 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_corpus(rows: DataFrame, path: str, *, id: str = "id", text: str = "text") -> None:
+    """The corpus as JSON lines {id, text, metadata}: whatever else a row has goes into metadata. Null ids are left out."""
+    rest = [c for c in rows.columns if c not in (id, text)]
+    meta = F.struct(*rest) if rest else F.create_map().cast("map<string,string>")
+    write_jsonl(rows.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), meta.alias("metadata")), path)
+
+
 def upsert(rows: DataFrame, path: str, key: str = "id", *order: str) -> int:
     """Replaces rows of the same key (the last by ``order`` of repeated ones), adds new ones, deletes none; returns how many."""
     fresh = cut_lineage(Q.keep_last(rows, key, *order) if order else rows.dropDuplicates([key]))
