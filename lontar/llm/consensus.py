@@ -105,7 +105,8 @@ def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tupl
         mean = found.agg(*(F.avg(F.col("p")[k]) for k in range(len(grades)))).first()
         prior = [x or p for x, p in zip(mean, flat)]
         found = cut_lineage(shares(ballots.join(bounded_broadcast(weights), ["annotator", "vote"]), prior))
-    best = F.array_position("p", F.array_max("p"))
+    level = F.transform("p", lambda x: F.round(x, 9))  # so that equal weights, summed in any order, are equal
+    best = F.array_position(level, F.array_max(level))
     relevance = F.array(*(F.lit(g) for g in grades))[(best - 1).cast("int")]
     for_it = F.size(F.filter("given", lambda v: v == relevance))
     return found.select(*keys, relevance.alias("relevance"), F.col("n").alias("n_annotators"), (for_it / F.col("n")).alias("agreement"), F.array_max("p").alias("confidence"))

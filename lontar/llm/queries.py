@@ -38,12 +38,14 @@ def p2_refined(spark, folder):
 def p2_agreement(spark, folder):
     """Consensus, agreement and confidence of every labelled pair, beside the consensus published earlier."""
     earlier = table(spark, folder, "relevance_consensus").groupBy("query_id", "listing_id").agg(F.max("relevance").alias("published"))
-    return consensus.consensus(table(spark, folder, "relevance_labels")).join(earlier, ["query_id", "listing_id"], "left")
+    found = consensus.consensus(table(spark, folder, "relevance_labels")).withColumns({c: F.round(c, 6) for c in ("agreement", "confidence")})
+    return found.join(earlier, ["query_id", "listing_id"], "left")
 
 
 def p2_annotators(spark, folder):
     """Reliability of every annotator."""
-    return consensus.reliability(consensus.votes(table(spark, folder, "relevance_labels")))
+    found = consensus.reliability(consensus.votes(table(spark, folder, "relevance_labels")))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_agreement", "accuracy", "weight")})
 
 
 def p3_found(spark, folder):
@@ -114,4 +116,27 @@ QUERIES = {
     for f in (p1_found, p1_templates, p1_leaks, p2_found, p2_refined, p2_agreement, p2_annotators, p3_found, p3_houses, p4_found, p4_rooms, p5_found, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)
 }
 
-ORACLE = {}
+_TRIPLETS = """with votes as (select query_id, listing_id, lower(trim(annotator)) as annotator, arg_max(relevance, struct_pack(t := coalesce(labelled_at, timestamp '1000-01-01'), r := relevance)) as vote
+    from relevance_labels where relevance in (0, 1, 2) and trim(annotator) <> '' and query_id is not null and listing_id is not null group by all),
+  edge as (select a.annotator as a, b.annotator as b, count(*) as n, avg((a.vote = b.vote)::int) as agree, (3 * avg((a.vote = b.vote)::int) - 1) / 2e0 as m
+    from votes a join votes b using (query_id, listing_id) where a.annotator <> b.annotator group by all),
+  solid as (select * from edge where n >= 5),
+  skill as (select x.a as annotator, median(x.m * y.m / z.m) as square from solid x join solid y on x.a = y.a and x.b < y.b join solid z on z.a = x.b and z.b = y.b where z.m <> 0 group by x.a),
+  met as (select a as annotator, sum(n) as shared, sum(n * agree) / sum(n) as mean_agreement, sum(n * m) as sign from edge group by a),
+  raw as (select v.annotator, v.votes, coalesce(shared, 0) as shared, mean_agreement,
+      case when square is not null then least(greatest((1 + 2 * sqrt(greatest(square, 0e0)) * case when sign < 0 then -1 else 1 end) / 3e0, 0.02e0), 0.98e0) end as raw
+    from (select annotator, count(*) as votes from votes group by annotator) v left join met using (annotator) left join skill using (annotator)),
+  trust as (select *, coalesce(raw, (select median(raw) from raw), 2e0 / 3) as accuracy, ln(2 * coalesce(raw, (select median(raw) from raw), 2e0 / 3) / (1 - coalesce(raw, (select median(raw) from raw), 2e0 / 3))) as weight from raw),
+  total as (select query_id, listing_id, count(*) as n, sum(weight * (vote = 0)::int) as s0, sum(weight * (vote = 1)::int) as s1, sum(weight * (vote = 2)::int) as s2,
+      count(*) filter (vote = 0) as n0, count(*) filter (vote = 1) as n1, count(*) filter (vote = 2) as n2 from votes join trust using (annotator) group by all),
+  odds as (select *, exp(s0 - greatest(s0, s1, s2)) as e0, exp(s1 - greatest(s0, s1, s2)) as e1, exp(s2 - greatest(s0, s1, s2)) as e2 from total),
+  shares as (select *, round(e0 / (e0 + e1 + e2), 9) as p0, round(e1 / (e0 + e1 + e2), 9) as p1, round(e2 / (e0 + e1 + e2), 9) as p2 from odds),
+  best as (select *, case when p0 >= greatest(p1, p2) then 0 when p1 >= p2 then 1 else 2 end as relevance from shares)"""
+
+ORACLE = {
+    "p2_found": f"{_TRIPLETS} select query_id, listing_id, relevance from best where n >= 2",
+    "p2_agreement": f"""{_TRIPLETS}, earlier as (select query_id, listing_id, max(relevance) as published from relevance_consensus group by all)
+        select query_id, listing_id, relevance, n as n_annotators, round(case relevance when 0 then n0 when 1 then n1 else n2 end * 1e0 / n, 6) as agreement, round(greatest(p0, p1, p2), 6) as confidence, published
+        from best left join earlier using (query_id, listing_id)""",
+    "p2_annotators": f"{_TRIPLETS} select annotator, votes, shared, round(mean_agreement, 6) as mean_agreement, round(accuracy, 6) as accuracy, round(weight, 6) as weight from trust",
+}
