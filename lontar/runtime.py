@@ -70,6 +70,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The files go when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)  # operators may be called on tables that ``table`` did not read
     path = f"{shared_dir(spark).rstrip('/')}/lontar-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
