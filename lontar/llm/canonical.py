@@ -28,6 +28,8 @@ from lontar.runtime import bounded_broadcast, cut_lineage
 
 UNMATCHED = "UNMATCHED"
 
+# Words that mark a sub-district, decoration without evidence.
+MARKS = ("kecamatan", "kec")
 #: Different entries that words must stand before, or after, to be decoration.
 ENTRIES = 3
 #: Least Jaccard similarity of bigrams for a candidate: two letters swapped in a word of five leave 1/3.
@@ -142,6 +144,7 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
     for r in around.collect():
         taken.setdefault((r["field_name"], r["side"]), []).append(r["words"])
     taken = {k: sorted(v) for k, v in taken.items()}
+    taken["kecamatan", "before"] = sorted({*taken.get(("kecamatan", "before"), []), *MARKS})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
