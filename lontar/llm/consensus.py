@@ -77,7 +77,7 @@ def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tupl
     """(*item, relevance, n_annotators, agreement, confidence): one row an item with a valid label.
 
     agreement is the share of the item's annotators who voted for the consensus, confidence its probability under the
-    weights.
+    weights, at nine decimals, as they are compared.
     """
     keys = list(item)
     ballots = cut_lineage(votes(labels, grades, item))
@@ -109,4 +109,4 @@ def consensus(labels: DataFrame, grades: tuple[int, ...] = (0, 1, 2), item: tupl
     best = F.array_position(level, F.array_max(level))
     relevance = F.array(*(F.lit(g) for g in grades))[(best - 1).cast("int")]
     for_it = F.size(F.filter("given", lambda v: v == relevance))
-    return found.select(*keys, relevance.alias("relevance"), F.col("n").alias("n_annotators"), (for_it / F.col("n")).alias("agreement"), F.array_max("p").alias("confidence"))
+    return found.select(*keys, relevance.alias("relevance"), F.col("n").alias("n_annotators"), (for_it / F.col("n")).alias("agreement"), F.array_max(level).alias("confidence"))

@@ -45,3 +45,10 @@ def test_edges(spark, rows):
     assert len(got) == (1 if rows and rows[0][2] else 0)
     if got:
         assert got[0].relevance == 1  # alone, or the smaller label of two equal weights
+
+
+def test_confidence_is_compared_and_told_at_nine_decimals(spark):
+    """A half at the seventh decimal rounds up, as in the SQL, whatever the order of summing leaves beyond the ninth."""
+    labels, _ = made()
+    for r in C.consensus(spark.createDataFrame(labels, SCHEMA)).collect():
+        assert r.confidence == round(r.confidence, 9)
