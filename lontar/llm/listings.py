@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -156,6 +157,9 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
 #: Two prices of one room may differ by this much, as a logarithm.
 PRICE = 0.12
 PASSES = ("title", "text", "street", "number")
+#: Pairs of rows that are compared at once, which bounds what a comparison holds, whatever rows share a key.
+PAIRS = 1 << 18
+_TOLD = ("place_code", "tenant", "number_code")
 _READ = ("title_name", "text_name", "street", "number", "place", "tenant", "class", "size", "price")
 _MATCH = "a bigint, b bigint, weight double, border binary, at int"
 
@@ -181,7 +185,7 @@ def _same_name(a: tuple[str, str], b: tuple[str, str]) -> bool | None:
 def _compare(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     """The pairs (a, b, weight) of rows i and j that describe one room."""
     c = {n: rows[n].to_numpy() for n in rows.columns}
-    for n in ("place_code", "tenant", "number_code"):  # most neighbours differ in one of these
+    for n in _TOLD:  # most neighbours differ in one of these
         x, y = c[n][i], c[n][j]
         may = (x == y) | (x == 0) | (y == 0)
         i, j = i[may], j[may]
@@ -241,28 +245,52 @@ def _states(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[~rows.assign(step=step)[[*_STATE, "step"]].duplicated()]
 
 
-def _with_states(rows: pd.DataFrame, first: int, reps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows first.. that share a key with states farther back than the window, and those states. The first ``reps`` rows
+def _not_apart(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows ``left`` and ``right`` that state no different place, tenant or number, of ``PAIRS`` at a time;
+    a row on the left meets those on the right whose number is greater than its ``after``."""
+    place, *told = (rows[n].to_numpy() for n in _TOLD)
+    for p in np.unique(place[right]):  # most states are of other places, and not met one by one
+        here, meets = right[place[right] == p], (place[left] == p) | (place[left] == 0) | (p == 0)
+        near, past = left[meets], after[meets]
+        for start in range(0, len(here), PAIRS):
+            some = here[start : start + PAIRS]
+            step = max(1, PAIRS // len(some))
+            for at in range(0, len(near), step):
+                part = near[at : at + step]
+                may = some[None, :] > past[at : at + step, None]
+                for c in told:
+                    x, y = c[part][:, None], c[some][None, :]
+                    may &= (x == y) | (x == 0) | (y == 0)
+                a, b = np.nonzero(may)
+                yield part[a], some[b]
+
+
+def _together(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in groups of ``PAIRS`` at most: few, as each costs a call."""
+    kept, n = [], 0
+    for left, right in pairs:
+        for start in range(0, len(left), PAIRS):
+            i, j = left[start : start + PAIRS], right[start : start + PAIRS]
+            if kept and n + len(i) > PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*kept))
+                kept, n = [], 0
+            kept.append((i, j))
+            n += len(i)
+    if kept:
+        yield tuple(np.concatenate(x) for x in zip(*kept))
+
+
+def _with_states(rows: pd.DataFrame, first: int, reps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """States, and the rows first.. that share a key with them farther back than the window. The first ``reps`` rows
     are states of the key that the batch begins with."""
+    codes, sizes = np.unique(rows["key_code"].to_numpy(), return_counts=True)
+    if not (sizes > WINDOW).any():
+        return
     key = rows["key_code"].to_numpy()
-    pos = np.arange(len(rows))
     heads = _states(rows).index.to_numpy()
-    sizes = pd.Series(key).groupby(key).size()
-    big = set(sizes[sizes > WINDOW].index)
-    if not big:
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    left, right = [], []
-    by = {}
-    for h in heads:
-        if key[h] in big:
-            by.setdefault(key[h], []).append(h)
-    for k, hs in by.items():
-        own = pos[(key == k) & (pos >= first)]
-        for h in hs:
-            far = own[own > (h + WINDOW if h >= reps else h)]
-            left.append(np.full(len(far), h))
-            right.append(far)
-    return np.concatenate(left), np.concatenate(right)
+    for k in codes[sizes > WINDOW]:
+        own, hs = np.nonzero(key == k)[0], heads[key[heads] == k]
+        yield from _not_apart(rows, hs, own[own >= first], hs + np.where(hs >= reps, WINDOW, 0))
 
 
 def _name_code(c: str) -> Column:
@@ -298,16 +326,17 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
     """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of the pass ``name``."""
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, carry, reps, opening, none = None, None, None, None, _links([])
+        head, carry, reps, opening = None, None, None, None
         for pdf in batches:
             if not len(pdf):
                 continue
             parts = [x for x in (reps, carry) if x is not None] + [pdf]
             both = pd.concat(parts, ignore_index=True) if len(parts) > 1 else pdf.reset_index(drop=True)
             n, known = 0 if reps is None else len(reps), len(both) - len(pdf)
-            i, j = _windows(len(both), known, n)
-            p, q = _with_states(both, known, n)
-            found = _compare(both, np.concatenate([i, p]), np.concatenate([j, q])) if len(both) > known else none
+            for i, j in _together(chain([_windows(len(both), known, n)], _with_states(both, known, n))):
+                found = _compare(both, i, j)
+                if len(found):
+                    yield found.assign(border=None, at=None)
             head = both.iloc[n : n + WINDOW].reset_index(drop=True) if head is None or len(head) < WINDOW else head
             carry = both.iloc[n:].iloc[-WINDOW:].reset_index(drop=True)
             key = both["key_code"].to_numpy()
@@ -316,8 +345,6 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
                 opening = firsts if opening is None else _states(pd.concat([opening, firsts], ignore_index=True))
             # states of the last key that the carried rows do not hold themselves
             reps = _states(both[key == key[-1]]).reset_index(drop=True)
-            if len(found):
-                yield found.assign(border=None, at=None)
         if carry is not None:
             border = pickle.dumps((head, carry, opening.reset_index(drop=True), reps))
             yield pd.DataFrame({"a": [0], "b": [0], "weight": [0.0], "border": [border], "at": [TaskContext.get().partitionId()]})
@@ -345,8 +372,8 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
         out = [_compare(both, i[crossing], j[crossing])]
         if len(last) and len(opening) and last["key_code"].iloc[0] == opening["key_code"].iloc[0]:
             states = pd.concat([last, opening], ignore_index=True)
-            a, b = np.meshgrid(np.arange(len(last)), np.arange(len(last), len(states)), indexing="ij")
-            out.append(_compare(states, a.ravel(), b.ravel()))
+            a, b = np.arange(len(last)), np.arange(len(last), len(states))
+            out += [_compare(states, i, j) for i, j in _together(_not_apart(states, a, b, a))]
         return pd.concat(out, ignore_index=True)
 
     at_borders = frame.join(F.broadcast(turns), "at").groupBy("turn").applyInPandas(borders, "a bigint, b bigint, weight double")

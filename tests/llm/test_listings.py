@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 
 from lontar.llm import listings as L
@@ -62,6 +64,20 @@ def test_a_crowded_house_is_compared_beyond_the_window(spark):
     assert found(spark, rows) == want
 
 
+def test_a_key_of_many_states_is_compared_in_bounded_groups(monkeypatch):
+    """The pairs are those of all states and rows farther off than the window that do not contradict, few at a time."""
+    n, reps, first = 300, 20, 30
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({c: rng.integers(0, 4, n) for c in ("place_code", "tenant", "number_code", "class", "size")} | {"key_code": np.where(np.arange(n) < 250, 7, np.arange(n)), "price": np.full(n, 800_000)})
+    told, heads = rows[["place_code", "tenant", "number_code"]].to_numpy(), L._states(rows).index
+    near = lambda a, b: ((told[a] == told[b]) | (told[a] == 0) | (told[b] == 0)).all()
+    want = sorted((h, r) for h in heads if h < 250 for r in range(first, 250) if r > h + (L.WINDOW if h >= reps else 0) and near(h, r))
+    monkeypatch.setattr(L, "PAIRS", 64)
+    groups = list(L._together(L._with_states(rows, first, reps)))
+    assert max(len(i) for i, _ in groups) <= 64
+    assert sorted((int(a), int(b)) for i, j in groups for a, b in zip(i, j)) == want
+
+
 def test_windows_cross_partition_borders(spark):
     wide = spark.createDataFrame([(f"{i:05}{s}", f"Kos putra Tilo{i:05}".replace("0", "a").replace("1", "b").replace("2", "c").replace("3", "d").replace("4", "e").replace("5", "f").replace("6", "g").replace("7", "h").replace("8", "i").replace("9", "j") + " Jaretur std", text, None, "Rawa Kencanti", "putra", 800_000, "", "", "") for i in range(300) for s, text in (("x", "Luas 3x4 m."), ("y", "Kamar."))], SCHEMA)
     got = {(r.id_a[:5], r.id_b[:5]) for r in L.room_pairs(wide, spark.createDataFrame(DISTRICTS, "entry string, aliases array<string>")).collect()}
