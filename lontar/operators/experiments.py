@@ -14,6 +14,7 @@ from lontar.functions.pipeline import STAGES, PipelineConfig, process
 from lontar.operators import metrics as M
 from lontar.operators import ranking as R
 from lontar.operators.search import fuse
+from lontar.runtime import cut_lineage
 
 
 def simplex(step: float = 0.1, least_text: float = 0.1) -> list[tuple[float, float, float]]:
@@ -91,7 +92,8 @@ def learn_to_rank(features: DataFrame, columns: list[str], folds: int = 5) -> Da
     Folds are by query, so no query is scored by a model that saw it; classes are weighted to balance, features scaled
     within the training folds.
     """
-    data = features.withColumn("fold", F.pmod(F.xxhash64("query_id"), F.lit(folds))).withColumn("label", (F.col("relevance") >= 1).cast("double"))
+    # written once: every fold reads it for its share, its scaler, its model and its scores
+    data = cut_lineage(features.withColumn("fold", F.pmod(F.xxhash64("query_id"), F.lit(folds))).withColumn("label", (F.col("relevance") >= 1).cast("double")))
     out = None
     for fold in range(folds):
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from lontar.runtime import bounded_broadcast
+
 #: Queries that are scored together.
 BLOCK = 2048
 ROWS = 2000
@@ -145,6 +147,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.
     return score_blocks(clean, list(asked["query_id"]), scorer, k)
 
 
+def bm25_pairs(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score): BM25 of the pairs (query_id, doc_id) alone, with the statistics of all documents.
+
+    Documents and queries are those of ``bm25``; a pair without a common word scores 0, one whose query or document does
+    not exist is left out. The work is in proportion to the documents and the pairs, not to documents times queries.
+    """
+    terms, one = bm25_index(docs)
+    pool = pairs.select("query_id", "doc_id").distinct().join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    known = bounded_broadcast(terms.join(F.broadcast(asked.select("term").distinct()), "term").select("term", "idf"))  # words of a query set
+    pooled = docs.join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "tokens")
+    told = pooled.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(known, "term").groupBy("doc_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
+    met = pool.join(asked, "query_id").join(told, ["doc_id", "term"]).crossJoin(F.broadcast(one))  # one row
+    weight = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    zeros = pool.join(pooled.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", F.lit(0.0).alias("w"))
+    return met.select("query_id", "doc_id", weight.alias("w")).unionByName(zeros).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
 def one_and_two_grams(tokens):
     """Single tokens, and neighbours joined by a blank."""
     last = F.size(tokens) - 1

@@ -11,7 +11,7 @@ from lontar.operators import ranking as R
 from lontar.plans.evaluation import _V
 from lontar.plans.quality import _LAST
 from lontar.plans.text import _strip
-from lontar.runtime import spread, table
+from lontar.runtime import cut_lineage, spread, table
 
 
 def _docs(spark, folder):
@@ -47,10 +47,9 @@ def x12_trace(spark, folder):
 def r12_pool(spark, folder):
     """BM25 within the judged pool, with the statistics of the whole corpus."""
     words = lambda df, key: df.select(key, X.tokenize(X.lowercase("text")).alias("tokens"))
-    docs, judged = words(_docs(spark, folder), "doc_id"), _judged(spark, folder)
-    pooled = docs.join(judged.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = R.bm25(pooled, words(_queries(spark, folder), "query_id"), None, index=R.bm25_index(docs))
-    return R.rank_pool(hits, judged).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    docs = cut_lineage(words(_docs(spark, folder), "doc_id"))  # read for the statistics and for the pool
+    hits = R.bm25_pairs(docs, words(_queries(spark, folder), "query_id"), _judged(spark, folder))
+    return R.top_ranks(hits, None).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 #: The settings of the grid.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lontar.functions import text as X
+from lontar.operators import experiments as E
 from lontar.operators import metrics as M
 from lontar.operators import quality as Q
 from lontar.operators import ranking as R
@@ -274,3 +275,34 @@ def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([("m", str(i), float(x)) for i, x in enumerate(np.linspace(0, 1, 20))], "model string, query_id string, ap double")
     a, b = (M.bootstrap_mean(df, resamples=500).first() for _ in range(2))
     assert a == b and a.low < a["mean"] < a.high
+
+
+def counted(df, path):
+    """``df``, which adds a line to ``path`` for every row that is computed."""
+
+    def run(batches):
+        for pdf in batches:
+            with open(path, "a") as f:
+                f.write("x\n" * len(pdf))
+            yield pdf
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_pairs_score_as_the_whole_ranking_does(spark):
+    docs = spark.createDataFrame([("a", ["kos", "ac", "kos"]), ("b", ["ac"]), ("c", []), ("d", ["kos", "wifi"]), ("e", ["wifi", "dapur"])], "doc_id string, tokens array<string>")
+    queries = spark.createDataFrame([("q1", ["kos", "kos", "wifi"]), ("q2", ["nihil"])], "query_id string, tokens array<string>")
+    pairs = spark.createDataFrame([(q, d) for q in ("q1", "q2", "q3") for d in "abcdz"] * 2, "query_id string, doc_id string")
+    show = lambda df: {(r.query_id, r.doc_id, round(r.score, 9)) for r in df.collect()}
+    got = R.bm25_pairs(docs, queries, pairs)
+    assert got.count() == 8 and show(got) == show(R.rank_pool(R.bm25(docs, queries, None), pairs))
+
+
+def test_learning_reads_its_features_once(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"q{i % 12}", f"d{i:03}", int(i % 5 == 0), float(i % 5 == 0) + rng.normal() / 9) for i in range(120)]
+    features = counted(spark.createDataFrame(rows, "query_id string, doc_id string, relevance int, score double"), tmp_path / "rows")
+    found = E.learn_to_rank(features, ["score"]).collect()
+    assert len(found) == 120 and len((tmp_path / "rows").read_text().split()) == 120
+    good = {d for _, d, relevance, _ in rows if relevance}
+    assert all(r.doc_id in good for r in found if r["rank"] <= 2)
