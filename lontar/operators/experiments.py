@@ -14,7 +14,7 @@ from lontar.functions.pipeline import STAGES, PipelineConfig, process
 from lontar.operators import metrics as M
 from lontar.operators import ranking as R
 from lontar.operators.search import fuse
-from lontar.runtime import cut_lineage
+from lontar.runtime import cut_lineage, discard, spread
 
 
 def simplex(step: float = 0.1, least_text: float = 0.1) -> list[tuple[float, float, float]]:
@@ -71,17 +71,21 @@ def bm25_grid(docs: DataFrame, queries: DataFrame, judged: DataFrame, k1s: list[
 def ablation(docs: DataFrame, queries: DataFrame, judged: DataFrame, base: PipelineConfig | None = None, k: int = 10) -> DataFrame:
     """(model, map, delta) of BM25 with every stage of the pipeline left out in turn; docs (doc_id, text), queries (query_id, text)."""
     base = base or PipelineConfig(stem=False)
+    docs, queries = cut_lineage(docs), cut_lineage(queries)
 
     def ranked(config: PipelineConfig, name: str) -> DataFrame:
+        """The ranks of one setting, its words taken out of the texts once and thrown away after use."""
         words: Column = process("text", config)["tokens"]
-        hits = R.bm25(docs.select("doc_id", words.alias("tokens")), queries.select("query_id", words.alias("tokens")), k)
-        return hits.select(F.lit(name).alias("model"), "query_id", "doc_id", "rank")
+        told, asked = (cut_lineage(spread(df).select(key, words.alias("tokens"))) for df, key in ((docs, "doc_id"), (queries, "query_id")))
+        hits = cut_lineage(R.bm25(told, asked, k).select(F.lit(name).alias("model"), "query_id", "doc_id", "rank"))
+        discard(told)
+        return hits
 
     out = ranked(base, "full")
     for stage in STAGES:
         if getattr(base, stage) and stage != "extract_prices":
             out = out.unionByName(ranked(replace(base, **{stage: False}), f"no_{stage}"))
-    means = M.summary(M.ranking_metrics(out, judged)).select("model", "map")
+    means = cut_lineage(M.summary(M.ranking_metrics(out, judged)).select("model", "map"))
     full = means.where("model = 'full'").select(F.col("map").alias("full"))
     return means.join(F.broadcast(full)).select("model", "map", (F.col("map") - F.col("full")).alias("delta"))
 

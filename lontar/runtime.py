@@ -77,6 +77,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that ``cut_lineage`` wrote and that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -306,3 +306,12 @@ def test_learning_reads_its_features_once(spark, tmp_path):
     assert len(found) == 120 and len((tmp_path / "rows").read_text().split()) == 120
     good = {d for _, d, relevance, _ in rows if relevance}
     assert all(r.doc_id in good for r in found if r["rank"] <= 2)
+
+
+def test_ablation_reads_each_text_once(spark, tmp_path):
+    docs = counted(spark.createDataFrame([("a", "Kos putra AC"), ("b", "kos putri murah"), ("c", None), ("d", "<b>kontrakan</b> luas"), ("e", "rumah luas")], "doc_id string, text string"), tmp_path / "rows")
+    queries = spark.createDataFrame([("q", "kos putra"), ("r", "kontrakan luas")], "query_id string, text string")
+    judged = spark.createDataFrame([("q", "a", 2), ("q", "b", 0), ("r", "d", 1)], "query_id string, doc_id string, relevance int")
+    got = {r.model: (r.map, r.delta) for r in E.ablation(docs, queries, judged).collect()}
+    assert len(got) == 8 and got["full"] == (1.0, 0.0)
+    assert len((tmp_path / "rows").read_text().split()) == 5
