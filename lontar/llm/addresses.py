@@ -48,6 +48,7 @@ _WARD = re.compile(rf"^(?:{WARD})(?=[\s.:])[\s.:]*")
 _DIST = re.compile(rf"^(?:{DISTRICT})(?=[\s.:])[\s.:]*")
 _BARE = re.compile(r"^(.*?[a-z])\s+(\d+)\s*[-/]?\s*([a-z])?$")
 _NUM = re.compile(r"\s+(x|ix|iv|v?i{1,3}|v|\d{1,2})$")
+_SIGNS = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"[ \t ]+")
 
 PARSED = "alamat string, street string, numeral string, block string, number string, unit string, ward string, district string, bare array<string>, postcode string"
@@ -59,17 +60,20 @@ def parse_address(text: str, city: str = "") -> tuple | None:
     Names come lower-cased with their blanks removed, for blanks get lost in typing; numerals are Arabic.
     None where the address has no street or no number.
     """
-    s = _PAREN.sub(" ", _SPACE.sub(" ", text.lower()).replace("\r", "\n"))
-    post = m[-1] if (m := _POST.findall(s)) else None
-    s = _POST.sub(" ", s)
+    s = _SPACE.sub(" ", text.lower()).replace("\r", "\n")
+    s = _PAREN.sub(" ", s) if "(" in s else s
+    post = None
+    if m := _POST.findall(s):
+        post, s = m[-1], _POST.sub(" ", s)
     unit = block = number = None
-    if m := _RT.search(s):
+    if "rt" in s and (m := _RT.search(s)):
         unit = f"{int(m[1])}/{int(m[2])}"
         s = s[: m.start()] + "," + s[m.end() :]
-    if m := _BLOCK.search(s):
+    block_word = "blok" in s or "blk" in s or "block" in s
+    if block_word and (m := _BLOCK.search(s)):
         block, number = m[1] + str(int(m[2] or 0)), str(int(m[3])) + (m[4] or "")
         s = s[: m.start()] + " \x01," + s[m.end() :]
-    elif m := _NO_BLOCK.search(s):
+    elif block_word and (m := _NO_BLOCK.search(s)):
         block, number = m[3] + str(int(m[4] or 0)), str(int(m[1])) + (m[2] or "")
         s = s[: m.start()] + " \x01," + s[m.end() :]
     elif m := _NO.search(s):
@@ -117,7 +121,7 @@ def parse_address(text: str, city: str = "") -> tuple | None:
 
 
 def _letters(s: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", s)
+    return _SIGNS.sub("", s)
 
 
 def parse_addresses(df: DataFrame, column: str = "alamat") -> DataFrame:

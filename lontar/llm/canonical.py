@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,9 +163,12 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = [edits(a, b) for a, b in zip(pdf["form"], pdf["near"])]
-            keep = [x <= allowed(min(len(a), len(b))) for x, a, b in zip(d, pdf["form"], pdf["near"])]
-            yield pdf.assign(d=d)[keep]
+            most = [allowed(min(len(a), len(b))) for a, b in zip(pdf["form"], pdf["near"])]
+            # a letter that only one of them has takes an edit, so most pairs need no table
+            may = [abs(len(a) - len(b)) <= k and max(len(set(a) - set(b)), len(set(b) - set(a))) <= k for k, a, b in zip(most, pdf["form"], pdf["near"])]
+            pdf = pdf.assign(most=most)[np.array(may, dtype=bool)]
+            pdf = pdf.assign(d=[edits(a, b) for a, b in zip(pdf["form"], pdf["near"])])
+            yield pdf[pdf["d"] <= pdf["most"]].drop(columns="most")
 
     flat = near.select(F.col("l.field_name").alias("field_name"), F.col("l.form").alias("form"), F.col("r.form").alias("near"), "jaccard")
     close = flat.mapInPandas(verify, "field_name string, form string, near string, jaccard double, d int")

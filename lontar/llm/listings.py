@@ -59,12 +59,56 @@ CLASS_CODES = {name: k for k, name in enumerate(CLASSES, 1)}
 FEATURES = "id string, title_name string, text_name string, street string, number string, place string, tenant int, class int, size int, price bigint"
 
 
+# What a text must hold for the expressions above to be tried: looking for a part costs far less than they do.
+_DIGIT = re.compile(r"\d")
+_TENANT_PARTS = ("putr", "campur", "bebas", "umum", "male", "cowok", "laki-laki", "pria", "cewek", "wanita", "perempuan")
+_CLASS_PARTS = ("v.i.p", "vip", "suite", "deluxe", "dlx", "eko", "hemat", "std", "standar")
+
+
+def _any(parts: tuple[str, ...], text: str) -> bool:
+    for x in parts:
+        if x in text:
+            return True
+    return False
+
+
+def _tenant(text: str) -> int | None:
+    return TENANTS[m.lastgroup] if _any(_TENANT_PARTS, text) and (m := _TENANT.search(text)) else None
+
+
+def _class(text: str) -> int | None:
+    return CLASS_CODES[m.lastgroup] if _any(_CLASS_PARTS, text) and (m := _CLASS.search(text)) else None
+
+
+def _size(text: str) -> int | None:
+    if not (_any(("x", "×", "kali"), text) and _DIGIT.search(text) and (m := _SIZE.search(text))):
+        return None
+    a, b = (float(x.replace(",", ".")) for x in m.groups())
+    a, b = sorted(round(x if x >= 20 else x * 100) for x in (a, b))
+    return a * 1000 + b
+
+
+def _price(text: str) -> int | None:
+    if not (_DIGIT.search(text) and (m := _PRICE.search(text))):
+        return None
+    if m[1]:
+        return int(re.sub(r"\D", "", m[1]))
+    return int(round(float(m[2].replace(",", ".")) * (1_000_000 if m[3].startswith("j") else 1000)))
+
+
+def _first(*found: int | None) -> int | None:
+    """The first that is known."""
+    return next((x for x in found if x is not None), None)
+
+
 def room_price(stated: float | None, text: str) -> int:
     """Monthly price in rupiah, 0 if unknown: as the text says, else the field, read as thousands if it is small."""
-    if m := _PRICE.search(text):
-        if m[1]:
-            return int(re.sub(r"\D", "", m[1]))
-        return int(round(float(m[2].replace(",", ".")) * (1_000_000 if m[3].startswith("j") else 1000)))
+    return _stated_price(stated, _price(text))
+
+
+def _stated_price(stated: float | None, told: int | None) -> int:
+    if told is not None:
+        return told
     if stated is not None and stated == stated:
         p = int(stated) * (1000 if 100 <= stated < 10_000 else 1)
         return p if 100_000 <= p <= 20_000_000 else 0
@@ -74,26 +118,24 @@ def room_price(stated: float | None, text: str) -> int:
 def read_room(title: str, text: str, kind: str) -> tuple[int, int, int]:
     """Codes of tenant type, class and size (width * 1000 + length in centimetres) as stated in lower-case texts; 0 where
     they are not. The shorter side of a size comes first."""
-    m = _TENANT.search(title) or _TENANT.search(text)
-    tenant = TENANTS[m.lastgroup] if m else TENANTS.get(kind.strip().lower(), 0)
-    m = _CLASS.search(title) or _CLASS.search(text)
-    room = CLASS_CODES[m.lastgroup] if m else 0
-    size = 0
-    if m := _SIZE.search(text) or _SIZE.search(title):
-        a, b = (float(x.replace(",", ".")) for x in m.groups())
-        a, b = sorted(round(x if x >= 20 else x * 100) for x in (a, b))
-        size = a * 1000 + b
-    return tenant, room, size
+    return _codes_of(title, (_tenant(text), _class(text), _size(text)), kind)
+
+
+def _codes_of(title: str, told: tuple[int | None, int | None, int | None], kind: str) -> tuple[int, int, int]:
+    """What a room is by its title and by what its description tells of tenant, class and size."""
+    tenant, room, size = told
+    tenant = _first(_tenant(title), tenant)
+    size = _size(title) if size is None else size
+    return TENANTS.get(kind.strip().lower(), 0) if tenant is None else tenant, _first(_class(title), room) or 0, size or 0
 
 
 def told_name(text: str, generic: set[str]) -> list[str]:
     """The words that may be the house's name in a lower-case description: the first two or more in a row, in one
     sentence, that are not generic."""
-    words = _RUN.findall(text)
-    if sum(len(w) >= 4 and w not in generic for w in words) < 2:
+    if sum(w not in generic for w in _WORD.findall(text)) < 2:
         return []
     run: list[str] = []
-    for w in [*words, "."]:
+    for w in [*_RUN.findall(text), "."]:
         if len(w) >= 4 and w not in generic:
             run.append(w)
         elif len(run) >= 2:
@@ -103,23 +145,100 @@ def told_name(text: str, generic: set[str]) -> list[str]:
     return []
 
 
+#: Letters of different sentences that a task keeps at once.
+KEPT = 1 << 24
+
+
+def sentences(text: str) -> list[str]:
+    """``text`` cut at line ends and after full stops: no word, size, price or other statement that is read goes across."""
+    return text.replace("\n", ". ").split(". ")
+
+
+class Descriptions:
+    """Lower-case descriptions read by sentences, each different one once: most stand in many advertisements."""
+
+    def __init__(self, generic: set[str]) -> None:
+        self.generic, self.seen, self.letters = generic, {}, 0
+
+    def __call__(self, text: str) -> tuple[int | None, int | None, int | None, int | None, list[str]]:
+        """Tenant, class, size, price and the words of the name: of each, what the first sentence that tells it says."""
+        tenant = room = size = price = None
+        told: list[str] = []
+        seen = self.seen
+        for s in sentences(text):
+            known = seen.get(s, 0)
+            if known == 0:
+                known = self._read(s)
+            if known is not None:
+                tenant = known[0] if tenant is None else tenant
+                room = known[1] if room is None else room
+                size = known[2] if size is None else size
+                price = known[3] if price is None else price
+                told = told or known[4]
+        return tenant, room, size, price, told
+
+    def _read(self, s: str):
+        if self.letters > KEPT:
+            self.seen.clear()
+            self.letters = 0
+        found = _tenant(s), _class(s), _size(s), _price(s), told_name(s, self.generic)
+        self.seen[s] = found = found if found != (None, None, None, None, []) else None
+        self.letters += len(s) + 100
+        return found
+
+
+_DIGITS = re.compile(r"[0-9]{1,9}")
+
+
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(field, word, n, bits) of titles and descriptions, added up over the different sentences of many rows."""
+    names = ("judul", "deskripsi")
+    kept: tuple[dict, dict] = ({}, {})
+    letters = 0
+
+    def counted() -> pd.DataFrame:
+        rows = []
+        for name, uses in zip(names, kept):
+            words: dict[str, list[int]] = {}
+            for s, (n, bits) in uses.items():
+                for w in _WORD.findall(s):
+                    if (known := words.get(w)) is None:
+                        words[w] = [n, bits]
+                    else:
+                        known[0] += n
+                        known[1] |= bits
+            rows += [(name, w, n, bits) for w, (n, bits) in words.items()]
+            uses.clear()
+        return pd.DataFrame(rows, columns=["field", "word", "n", "bits"])
+
+    for pdf in batches:
+        for title, text, address in zip(pdf["judul"], pdf["deskripsi"], pdf["alamat"]):
+            m = _DIGITS.search(address) if address else None
+            bit = 1 << int(m[0]) % 61 if m else 0
+            for uses, value in zip(kept, (title, text)):
+                for s in sentences(value.lower()) if value else ():
+                    if (known := uses.get(s)) is None:
+                        uses[s] = [1, bit]
+                        letters += len(s) + 100
+                    else:
+                        known[0] += 1
+                        known[1] |= bit
+            if letters > KEPT:
+                yield counted()
+                letters = 0
+    yield counted()
+
+
 def generic_words(listings: DataFrame) -> set[str]:
     """The words used at least ``GENERIC`` times as often as there are titles, or descriptions, at ``FEW`` different first numbers of the
     address (told apart modulo 61, a bit each): at most 1 / GENERIC times the length of a title and a description of them."""
-    found: set[str] = set()
-    number = F.regexp_extract("alamat", r"\d{1,9}", 0)
-    bit = F.when(number != "", F.expr("shiftleft(1L, cast(pmod(cast(regexp_extract(alamat, '[0-9]{1,9}', 0) as bigint), 61) as int))")).otherwise(F.lit(0).cast("bigint"))
-    for column in ("judul", "deskripsi"):
-        some = listings.where(F.col(column).isNotNull())
-        total = some.count()
-        # whatever stands between blanks is counted first, so that expressions cut a few different spellings, not every text
-        raw = some.select(bit.alias("bit"), F.explode(F.split(F.translate(F.lower(column), "\n\r\t", "   "), " ")).alias("word")).where(F.length("word") >= 4)
-        raw = raw.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
-        words = raw.select("n", "bits", F.explode(F.split("word", "[^a-z]+")).alias("word")).where(F.length("word") >= 4)
-        counted = words.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-        generic = counted.where((F.col("n") >= max(FEW, GENERIC * total)) & (F.bit_count("bits") >= FEW))
-        found |= {r["word"] for r in generic.select("word").collect()}
-    return found
+    totals = listings.agg(F.count("judul").alias("judul"), F.count("deskripsi").alias("deskripsi")).first()
+    words = listings.select("judul", "deskripsi", "alamat").mapInPandas(_word_counts, "field string, word string, n bigint, bits bigint")
+    counted = words.groupBy("field", "word").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).where(F.bit_count("bits") >= FEW)
+    enough = F.lit(False)
+    for name in ("judul", "deskripsi"):
+        enough |= (F.col("field") == name) & (F.col("n") >= max(FEW, GENERIC * totals[name]))
+    return {r["word"] for r in counted.where(enough).select("word").distinct().collect()}
 
 
 def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
@@ -137,18 +256,19 @@ def features(listings: DataFrame, districts: DataFrame) -> DataFrame:
         generic, known = shared.value
         named = re.compile("|".join(re.escape(x.lower()) for x in sorted(known, key=len, reverse=True)) or r"(?!)")
         proper = {x.lower(): x for x in known}
+        tell = Descriptions(generic)
         for pdf in batches:
             out = []
             for id_, title, text, address, place, kind, price in zip(pdf["id"], pdf["judul"], pdf["deskripsi"], pdf["alamat"], pdf["place"], pdf["tipe"], pdf["harga_per_bulan"]):
                 title, text = (title or "").lower(), (text or "").lower()
                 called = [w for w in _WORD.findall(title) if w not in generic]
-                told = told_name(text, generic)
+                *codes, told_price, told = tell(text)
                 where = parse_address(address) if address else None
                 if not place and (m := named.search((address or "").lower()) or named.search(title) or named.search(text)):
                     place = proper[m[0]]
-                tenant, room, size = read_room(title, text, kind or "")
+                tenant, room, size = _codes_of(title, codes, kind or "")
                 street, number = (where[0], "|".join(where[1:4])) if where else ("", "")
-                out.append((id_, " ".join(called), " ".join(told), street, number, place or "", tenant, room, size, room_price(price, text)))
+                out.append((id_, " ".join(called), " ".join(told), street, number, place or "", tenant, room, size, _stated_price(price, told_price)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
     return rows.join(bounded_broadcast(places), "kecamatan", "left").select("id", "judul", "deskripsi", "alamat", "place", "tipe", "harga_per_bulan").mapInPandas(run, FEATURES)
@@ -323,7 +443,8 @@ def _pass_key(name: str) -> Column:
 
 
 def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
-    """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of the pass ``name``."""
+    """(a, b, weight): the matches among each row and its ``WINDOW`` predecessors in the order of the pass ``name``, whose
+    key stands in the column ``key_`` and its name."""
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, carry, reps, opening = None, None, None, None
@@ -349,7 +470,7 @@ def sorted_neighbours(rows: DataFrame, name: str) -> DataFrame:
             border = pickle.dumps((head, carry, opening.reset_index(drop=True), reps))
             yield pd.DataFrame({"a": [0], "b": [0], "weight": [0.0], "border": [border], "at": [TaskContext.get().partitionId()]})
 
-    keyed = rows.select("id", *_READ, _pass_key(name).alias("key")).where(F.col("key") != "")
+    keyed = rows.select("id", *_READ, F.col(f"key_{name}").alias("key")).where(F.col("key") != "")
     order = ("key", "place", "tenant", "class", "size", "id")
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(_codes()).drop("key", "place", "number")
     slid = cut_lineage(ordered.mapInPandas(slide, _MATCH))
@@ -447,7 +568,8 @@ def room_clusters(listings: DataFrame, districts: DataFrame) -> DataFrame:
     """(id, room): listings of one room share the value of ``room``; every id that has an advertisement is there."""
     read = features(listings, districts).withColumn("node", F.xxhash64(*_READ))
     read = cut_lineage(read.withColumn("alone", F.concat_ws("", "title_name", "text_name", "street") == ""))
-    rooms = cut_lineage(read.where("not alone").groupBy(F.col("node").alias("id")).agg(*(F.first(c).alias(c) for c in _READ)))
+    rooms = read.where("not alone").select(F.col("node").alias("id"), *_READ).distinct()
+    rooms = cut_lineage(rooms.select("*", *(_pass_key(p).alias(f"key_{p}") for p in PASSES)))
     found = None
     for p in PASSES:
         step = sorted_neighbours(rooms, p)

@@ -5,6 +5,7 @@ import pytest
 from lontar.llm import listings as L
 
 SCHEMA = "id string, judul string, deskripsi string, alamat string, kecamatan string, tipe string, harga_per_bulan bigint, room string, street string, a string"
+COUNT_WORDS = L.generic_words
 DISTRICTS = [("Rawa Kencanti", ["rawa"]), ("Gunung Pelitasi", None)]
 
 
@@ -26,6 +27,26 @@ def test_reading():
     assert L._words_alike("tilonilwi jaretur", "jaretur paviluin tilonilwii") and not L._words_alike("talukansi jemdidar", "ratogunda jemsisar")
 
 
+def test_each_different_sentence_is_read_once(monkeypatch):
+    """What descriptions share is read once, and what is read is what the whole texts say, also where they are cut."""
+    read, tried = L.told_name, []
+    monkeypatch.setattr(L, "told_name", lambda s, generic: tried.append(s) or read(s, generic))
+    parts = ["kos tilonilwi jaretur", "kolam renang\numum", "bebas. jam malam", "luas 3 x 4.5 m", "2. x 4", "rp. 500.000", "biaya rp 1.250.000", "kamar v.i.p", "bebas jam malam", "untuk\nwanita"]
+    texts = [f"{a}. {b}{end}{c}" for a in parts for b in parts for c in parts for end in (". ", "\n", " ")]
+    tell = L.Descriptions({"untuk", "kamar"})
+    for text in texts:
+        tenant, room, size, price, told = tell(text)
+        assert (tenant or 0, room or 0, size or 0) == L.read_room("", text, "") and (price or 0) == L.room_price(None, text) and told == read(text, {"untuk", "kamar"})
+    assert sorted(tried) == sorted({s for text in texts for s in L.sentences(text)})
+
+
+@pytest.mark.parametrize("kept", [1, L.KEPT])
+def test_generic_words_are_counted_whatever_is_kept(spark, monkeypatch, kept):
+    monkeypatch.setattr(L, "KEPT", kept)
+    texts = [("Kos nyaman", "Harga murah\nKamar rapi-rapi. Satu kamar", f"No. {k % 13}") for k in range(26)] + [("Kos", "sering. sering sering", "No. 5")] * 40 + [(None, None, None), ("Kos", "", "Jl. Lain")]
+    assert COUNT_WORDS(spark.createDataFrame(texts, "judul string, deskripsi string, alamat string")) == {"nyaman", "harga", "murah", "kamar", "rapi", "satu"}
+
+
 def test_one_room_in_other_words(spark):
     rawa, jl = "Rawa Kencanti", "Jl. Canmemur No. 9"
     rows = [
