@@ -56,6 +56,11 @@ MARKED = re.compile(rf"(?<![^\W_])({_OPEN})\s*([A-Za-z$][\w.$ -]*?)\s*({_CLOSE})
 BARE = re.compile(r"(?<![\w@./-])(?:(?P<identifier>[A-Za-z]+(?:_[A-Za-z0]+)+)|(?P<blank>_{3,}|\.{5,}|…{2,})|(?P<capitals>[A-Z]{4,}))(?![\w@/-])")
 #: Two signs of program code before a name: no prose opens a bracket so.
 CODE = re.compile(r"[{\[<%#@$\\&]{2}|[%$]\(")
+# What a segment must hold for the expressions above to be tried: looking for a part costs far less than they do.
+_MISSING_PARTS = ("NaN", "undefined", "null", "None", "[object", "#", "{", "%")
+_OPENS = re.compile(r"[{\[<(%#@«&$\\|*~^=_]")
+_CLOSES = re.compile(r"[}\])>»%#@&;|*~^$_]")
+_CAPITALS = re.compile(r"[A-Z][A-Z][A-Z][A-Z]")
 IDENTIFIER = re.compile(r"^(?:\$?\w+[_.]\w[\w.]*|\$?[a-z]+[A-Z]\w*)$")
 
 
@@ -98,11 +103,12 @@ def repeated_pages(df: DataFrame, column: str, key: str, rows: DataFrame, counte
     return judged.where((short & (F.col("share") == 1)) | (~short & (F.col("share") >= 0.5))).select("words", "page", "ids")
 
 
-def _uses(counted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, n): how many rows' segments use each of the ``wanted`` words and pairs of words (gram)."""
+def _uses(counted: DataFrame, wanted: DataFrame, *, pairs: bool = True) -> DataFrame:
+    """(gram, n): how many rows' segments use each of the ``wanted`` words and pairs of words (gram); without ``pairs``,
+    only words are wanted."""
     words = F.split("words", " ")
     both = F.concat(words, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
-    used = counted.where("words != ''").select("n", F.explode(F.array_distinct(F.when(F.size(words) > 1, both).otherwise(words))).alias("gram"))
+    used = counted.where("words != ''").select("n", F.explode(F.array_distinct(F.when(F.size(words) > 1, both).otherwise(words) if pairs else words)).alias("gram"))
     return used.join(bounded_broadcast(wanted), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -188,7 +194,7 @@ class Templates:
             return "template"
         if self.reasons.match(words):
             return "error"
-        if (rest := PREFIX.sub("", words)) != words and len(rest.split()) > 1 and rest in self.whole:
+        if (m := PREFIX.match(words)) and len((rest := words[m.end() :]).split()) > 1 and rest in self.whole:
             return "error"
         near = [x for w in raw if (x := self.meant(w))]
         if len(near) == len(raw) and " ".join(near) in self.whole:
@@ -213,6 +219,9 @@ def typed_over(words: list[str]) -> bool:
     words = [w for w in words if w != "0"]
     if len(words) < 3:
         return False
+    begin = [w[0] for w in words]  # words of one root begin with one letter, and most texts do not
+    if max(map(begin.count, begin)) < max(3, 0.5 * len(words)) and (len(words) < 6 or len(set(begin)) > 0.4 * len(words)):
+        return False
     base = [re.sub(r"^(.+?)\1+$", r"\1", w) for w in words]
     roots = Counter(base)
     stem = Counter()
@@ -239,11 +248,13 @@ def spans_of(segment: str) -> list[tuple[str, str, str, bool]]:
     """(style, name, context, label) of every span of a segment that may be an unfilled slot. style is the pair of signs
     around it, or identifier, blank or capitals; label tells that the word before it is the same."""
     found, covered = [], []
-    for m in MARKED.finditer(segment):
+    marks = _OPENS.search(segment) and _CLOSES.search(segment)
+    for m in MARKED.finditer(segment) if marks else ():
         name = m[2].strip()
         found.append((m[1] + " " + m[3], ("=" if IDENTIFIER.match(name) or CODE.match(m[1]) else "") + name.lower(), _context(segment[: m.start()], segment[m.end() :]), False))
         covered.append(m.span())
-    for m in BARE.finditer(segment):
+    bare = "_" in segment or "....." in segment or "……" in segment or _CAPITALS.search(segment)
+    for m in BARE.finditer(segment) if bare else ():
         if any(a <= m.start() < b for a, b in covered) or m.lastgroup == "capitals" and segment.isupper():
             continue
         if m.lastgroup == "capitals" and (re.search(r"[A-Z]{2}\W*$", segment[: m.start()]) or re.match(r"\W*[A-Z]{2}", segment[m.end() :])):
@@ -254,13 +265,18 @@ def spans_of(segment: str) -> list[tuple[str, str, str, bool]]:
     return found
 
 
+def _missing(segment: str) -> bool:
+    """Whether a value that programs print for something missing stands in the segment."""
+    return any(x in segment for x in _MISSING_PARTS) and MISSING.search(segment) is not None
+
+
 def _read(templates: list[tuple[str, dict[str, float]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Templates(templates)
         for pdf in batches:
             rows = []
             for h, segment, words, n in zip(pdf["hash"], pdf["segment"], pdf["words"], pdf["n"]):
-                kind = "default" if MISSING.search(segment) else held.kind(words)
+                kind = "default" if _missing(segment) else held.kind(words)
                 spans = [] if kind else spans_of(segment)
                 if kind or spans:
                     rows.append((h, segment, n, kind, spans))
@@ -323,9 +339,8 @@ def _retained(read: DataFrame, counted: DataFrame) -> DataFrame:
     if values is None:
         return holding.select("hash", "segment", "n").unionByName(same).distinct()
     number = F.col("value").rlike(r"^[^\p{L}]*\d[^\p{L}]*$")
-    slot = values.groupBy("context").agg(F.count_distinct("value").alias("values"), F.avg(number.cast("int")).alias("numeric"))
-    used = values.groupBy("context").agg(F.count("*").alias("records"))
-    slot = bounded_broadcast(cut_lineage(slot.join(used, "context")))
+    slot = values.groupBy("context").agg(F.count_distinct("value").alias("values"), F.avg(number.cast("int")).alias("numeric"), F.count("*").alias("records"))
+    slot = bounded_broadcast(cut_lineage(slot))
     met = bare.join(slot, "context", "left")
     others = F.coalesce("records", F.lit(0)) >= 2
     left = ((F.col("style") == "identifier") & (F.coalesce("values", F.lit(0)) >= 2)) | ((F.col("style") == "blank") & others) | ((F.col("style") == "capitals") & (F.col("label") & others | (F.col("numeric") >= 0.3) & others))
@@ -333,9 +348,10 @@ def _retained(read: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(id, page, hashes) of every text: a hash of its words, and of each of its segments."""
+    """(id, page, segments, hashes) of every text: a hash of its words, its segments, and a hash of each of them."""
     some = df.where(F.col(column).isNotNull())
-    return some.select(F.col(key).alias("id"), F.xxhash64(plain(F.col(column))).alias("page"), F.transform(segments(F.col(column)), lambda s: F.xxhash64(s)).alias("hashes"))
+    cut = some.select(F.col(key).alias("id"), F.xxhash64(plain(F.col(column))).alias("page"), segments(F.col(column)).alias("segments"))
+    return cut.withColumn("hashes", F.transform("segments", lambda s: F.xxhash64(s)))
 
 
 def page_templates(df: DataFrame, column: str, key: str, rows: DataFrame, counted: DataFrame) -> DataFrame:
@@ -350,7 +366,7 @@ def page_templates(df: DataFrame, column: str, key: str, rows: DataFrame, counte
     held = known.select("words", F.explode(F.array_distinct(F.split("words", " "))).alias("gram"))
     inside = counted.join(bounded_broadcast(known), "words", "left_semi")
     wanted = cut_lineage(held.select("gram").distinct())
-    share = _uses(inside, wanted).withColumnRenamed("n", "own").join(_uses(counted, wanted), "gram").select("gram", (F.col("own") / F.col("n")).alias("weight"))
+    share = _uses(inside, wanted, pairs=False).withColumnRenamed("n", "own").join(_uses(counted, wanted, pairs=False), "gram").select("gram", (F.col("own") / F.col("n")).alias("weight"))
     weighed = held.join(bounded_broadcast(cut_lineage(share)), "gram", "left")
     folded = weighed.groupBy("words").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.coalesce("weight", F.lit(0.0))))).alias("weights"))
     return folded.where(F.array_max(F.map_values("weights")) >= OWN)
@@ -364,7 +380,7 @@ def flagged_segments(df: DataFrame, column: str, *, key: str = "id") -> DataFram
 
 def _flagged(df: DataFrame, column: str, key: str) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(_rows(df, column, key))
-    counted = df.where(F.col(column).isNotNull()).select(F.explode(segments(F.col(column))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+    counted = rows.select(F.explode("segments").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
     counted = cut_lineage(counted.select("segment", "n", F.xxhash64("segment").alias("hash"), plain(F.col("segment")).alias("words")))
     known = cut_lineage(page_templates(df, column, key, rows, counted))
 

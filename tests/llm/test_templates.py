@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 
 from lontar.llm import templates as T
@@ -51,6 +55,47 @@ def test_a_bracketed_filler_needs_evidence(spark):
     assert T.residue_ids(more).count() == 3  # the third shares the template of the first
 
 
+class Never:
+    def search(self, text):
+        raise AssertionError(text)
+
+    finditer = search
+
+
+def test_expressions_are_tried_only_where_their_parts_stand(monkeypatch):
+    plain = ["Kamar luas dan bersih, dekat pasar sore.", "Harga Rp 0.000 per bulan", "Parkir (motor", "AC, TV, wifi ...", ""]
+    kept = {"Kos NAMA_KOS": 1, "kos ____": 1, "kos .....": 1, "kos ……": 1, "Kos HARGA ribu": 1, "__nama__": 1, "[nama]": 1, "Hubungi $kontak$ atau &alamat;": 2}
+    assert {s: len(T.spans_of(s)) for s in kept} == kept
+    assert all(T._missing(f"Harga {x} saja") for x in ("NaN", "undefined", "null", ": None", "[object Kos]", "#N/A", "#DIV/0!", "{ }", "%s")) and not T._missing("Nonest #0 0%s {a}")
+    for name in ("MARKED", "BARE", "MISSING"):
+        monkeypatch.setattr(T, name, Never())
+    assert not any(T.spans_of(s) or T._missing(s) for s in plain)
+
+
+def test_words_typed_over_are_told_by_their_roots():
+    """As every root against every other tells it, whatever letters the words begin with."""
+
+    def by_roots(words):
+        words = [w for w in words if w != "0"]
+        roots = Counter(re.sub(r"^(.+?)\1+$", r"\1", w) for w in words)
+        alike = lambda w, v: v == w or len(w) >= 3 and v.startswith(w) or len(v) >= 3 and w.startswith(v)
+        most = max((sum(n for v, n in roots.items() if alike(w, v)) for w in roots if len(w) >= 2 or roots[w] > 1), default=0)
+        return len(words) >= 3 and (most >= 3 and most >= 0.5 * len(words) or len(words) >= 6 and len(roots) <= 0.4 * len(words))
+
+    some = random.Random(5)
+    cases = [some.choices(["asd", "asdf", "asdasd", "a", "aa", "tes", "test", "kos", "x", "0", "b", "qwe"], k=some.randint(0, 9)) for _ in range(3000)]
+    assert {by_roots(c) for c in cases} == {True, False}
+    assert [T.typed_over(c) for c in cases] == [by_roots(c) for c in cases]
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Distinct segments are counted from the segments kept for each row."""
+    cut, tried = T.segments, []
+    monkeypatch.setattr(T, "segments", lambda text: tried.append(text) or cut(text))
+    df = spark.createDataFrame(rows(RESIDUE + ORDINARY) * 2, SCHEMA)
+    assert T.residue_ids(df).count() == len(RESIDUE) and len(tried) == 1
+
+
 @pytest.mark.parametrize("texts", [[], [None], [""], ["  \n "], ["x" * 300_000], ["kos " * 50_000 + "{{harga}}"]])
 def test_edges(spark, texts):
     df = spark.createDataFrame(rows(texts), SCHEMA)
