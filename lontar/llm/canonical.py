@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,14 @@ def edits(a: str, b: str) -> int:
     """Edit distance where a swap of neighbouring letters counts one."""
     if a == b:
         return 0
+    most, n = min(len(a), len(b)), 0  # what both begin and end with takes no edit
+    while n < most and a[n] == b[n]:
+        n += 1
+    a, b, most = a[n:], b[n:], most - n
+    n = 0
+    while n < most and a[-1 - n] == b[-1 - n]:
+        n += 1
+    a, b = a[: len(a) - n], b[: len(b) - n]
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -60,11 +69,29 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether no more than ``most`` edits lie between the two. A letter that only one of them has takes an edit, so most
+    pairs need no table."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = set(a), set(b)
+    return len(x - y) <= most and len(y - x) <= most and edits(a, b) <= most
+
+
 def allowed(length: int) -> int:
     """Edits that a spelling of so many letters may have."""
     return 0 if length < 3 else 1 if length < 6 else 2 if length < 11 else 3 if length < 16 else 4
 
 
+def _few_edits(size: Column, other: Column) -> Column:
+    """Whether two spellings of so many letters may be apart by ``allowed`` edits: one takes a letter more or less."""
+    n = F.least(size, other)
+    most = F.when(n < 3, 0).when(n < 6, 1).when(n < 11, 2).when(n < 16, 3).otherwise(4)
+    return F.abs(size - other) <= most
+
+
 def tight(value: str) -> str:
     return "".join(c for c in value.lower() if c.isalnum())
 
@@ -80,6 +107,12 @@ def decoration(value: str, forms: dict[str, str]) -> list[tuple[str, str, str]]:
     return found
 
 
+@lru_cache(1 << 16)
+def _decorates(part: str, words: str, slack: int) -> bool:
+    """Whether ``part`` is decoration with typing errors; the same ends stand in many values."""
+    return within(part, words, slack)
+
+
 def readings(value: str, before: list[str], after: list[str]) -> set[str]:
     """The value without blanks and signs, and what remains when decoration is taken off its ends."""
     whole = tight(value)
@@ -91,7 +124,7 @@ def readings(value: str, before: list[str], after: list[str]) -> set[str]:
                     slack = 0 if len(w) < 4 else 1 if len(w) < 9 else 2
                     for n in range(len(w) - slack, len(w) + slack + 1):
                         part, rest = (s[:n], s[n:]) if front else (s[-n:], s[:-n])
-                        if len(rest) >= 2 and len(part) == n and (part == w or slack and sum(c in part for c in w) >= len(w) - slack and edits(part, w) <= slack):
+                        if len(rest) >= 2 and len(part) == n and (part == w or slack and _decorates(part, w, slack)):
                             found.add(rest)
     return {x for x in found if x}
 
@@ -159,7 +192,8 @@ def map_values(values: DataFrame, canonical: DataFrame, candidate: float = CANDI
     key = F.struct("field_name", "form")
     left = forms.select(key.alias("l")).distinct().select("l", F.transform(grams(F.col("l.form")), lambda g: F.concat("l.field_name", F.lit(":"), g)).alias("tokens"))
     right = entries.select(key.alias("r")).distinct().select("r", F.transform(grams(F.col("r.form")), lambda g: F.concat("r.field_name", F.lit(":"), g)).alias("tokens"))
-    near = prefix_filter_join(left, right, candidate)
+    # a form has one gram more than letters
+    near = prefix_filter_join(left, right, candidate, lambda l, r: _few_edits(l - 1, r - 1))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -61,7 +61,7 @@ FEATURES = "id string, title_name string, text_name string, street string, numbe
 
 # What a text must hold for the expressions above to be tried: looking for a part costs far less than they do.
 _DIGIT = re.compile(r"\d")
-_TENANT_PARTS = ("putr", "campur", "bebas", "umum", "male", "cowok", "laki-laki", "pria", "cewek", "wanita", "perempuan")
+_TENANT_START = re.compile(r"putr|campur|bebas|umum|male|female|cowok|laki-laki|pria|cewek|wanita|perempuan")
 _CLASS_PARTS = ("v.i.p", "vip", "suite", "deluxe", "dlx", "eko", "hemat", "std", "standar")
 
 
@@ -73,7 +73,8 @@ def _any(parts: tuple[str, ...], text: str) -> bool:
 
 
 def _tenant(text: str) -> int | None:
-    return TENANTS[m.lastgroup] if _any(_TENANT_PARTS, text) and (m := _TENANT.search(text)) else None
+    start = _TENANT_START.search(text)
+    return TENANTS[m.lastgroup] if start and (m := _TENANT.search(text, start.start())) else None
 
 
 def _class(text: str) -> int | None:
@@ -132,7 +133,7 @@ def _codes_of(title: str, told: tuple[int | None, int | None, int | None], kind:
 def told_name(text: str, generic: set[str]) -> list[str]:
     """The words that may be the house's name in a lower-case description: the first two or more in a row, in one
     sentence, that are not generic."""
-    if sum(w not in generic for w in _WORD.findall(text)) < 2:
+    if len([w for w in _WORD.findall(text) if w not in generic]) < 2:
         return []
     run: list[str] = []
     for w in [*_RUN.findall(text), "."]:
@@ -289,7 +290,7 @@ def _words_alike(a: str, b: str) -> bool:
     x, y = sorted((a.split(), b.split()), key=len)
     y = list(y)
     for w in x:
-        near = next((v for v in y if abs(len(v) - len(w)) <= 2 and canonical.edits(w, v) <= max(1, len(w) // 5)), None)
+        near = next((v for v in y if abs(len(v) - len(w)) <= 2 and canonical.within(w, v, max(1, len(w) // 5))), None)
         if near is None:
             return False
         y.remove(near)
@@ -334,7 +335,7 @@ def _compare(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
             name = _same_name((c["title_name"][a], c["text_name"][a]), (c["title_name"][b], c["text_name"][b]))
             if name is False:
                 continue
-        street = bool(address[k]) or bool(agree["number_code"][k]) and canonical.edits(c["street"][a], c["street"][b]) <= 2
+        street = bool(address[k]) or bool(agree["number_code"][k]) and canonical.within(c["street"][a], c["street"][b], 2)
         if not name and not street:
             continue
         weight += (3 if named[k] else 2 if name else 0) + (3 if address[k] else 2 if street else 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ def grams(text: Column, q: int = 2) -> Column:
     """The q-grams of a text between two boundary marks, as a set: the second occurrence of a gram is another token."""
     padded = F.concat(F.lit("\x02"), text, F.lit("\x03"))
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - q + 1, F.lit(1))), lambda i: F.substring(padded, i, q))
-    return F.transform(cut, lambda g, i: F.concat(g, F.size(F.filter(F.slice(cut, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    # an array of one holds the grams, so that they are cut once and not again for each of them
+    return F.transform(F.array(cut), lambda c: F.transform(c, lambda g, i: F.concat(g, F.size(F.filter(F.slice(c, F.lit(1), i + 1), lambda h: h == g)).cast("string"))))[0]
 
 
-def prefix_filter_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l, r, jaccard) of all pairs with Jaccard similarity of at least ``least``.
+def prefix_filter_join(left: DataFrame, right: DataFrame, least: float, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(l, r, jaccard) of all pairs with Jaccard similarity of at least ``least``, or of those whose sizes ``may`` allows.
 
     ``left`` (l, tokens) and ``right`` (r, tokens) hold token sets under unique keys. Tokens are ordered by global
     rarity. Two sets that similar share one of the first ``|x| - ceil(least |x|) + 1`` tokens of each, so only these
@@ -38,9 +41,12 @@ def prefix_filter_join(left: DataFrame, right: DataFrame, least: float) -> DataF
     sets = [cut_lineage(ordered(df, key)) for df, key in zip(exploded, "lr")]
     short, long = F.least("l_size", "r_size"), F.greatest("l_size", "r_size")
     met = prefixes(sets[0], "l").join(bounded_broadcast(cut_lineage(prefixes(sets[1], "r"))), "token").where(short >= least * long - 1e-9)
-    first = met.groupBy("l", "r", "l_size", "r_size").agg(F.min(F.struct("l_at", "r_at")).alias("at"))
+    met = met.where(may(F.col("l_size"), F.col("r_size"))) if may else met
+    # the two places as one number, which is aggregated without a sort
+    at = F.shiftleft(F.col("l_at").cast("bigint"), 32) + F.col("r_at")
+    first = met.groupBy("l", "r", "l_size", "r_size").agg(F.min(at).alias("at")).withColumns({"l_at": F.shiftright("at", 32), "r_at": F.col("at").bitwiseAND((1 << 32) - 1)})
     needed = F.ceil(least / (1 + least) * (F.col("l_size") + F.col("r_size")) - 1e-9)
-    possible = 1 + F.least(F.col("l_size") - F.col("at.l_at"), F.col("r_size") - F.col("at.r_at")) - 1
+    possible = 1 + F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) - 1
     pairs = first.where(possible >= needed).select("l", "r")
     both = pairs.join(sets[0], "l").join(bounded_broadcast(sets[1]), "r")
     shared = F.size(F.array_intersect("l_tokens", "r_tokens"))

@@ -19,6 +19,32 @@ def test_prefix_filter_join_is_exact(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.4 - 1e-9})
 
 
+def test_candidates_are_cut_by_length_and_found_without_a_sort(spark):
+    """Pairs that edits rule out by their lengths are not compared; all others are, as before."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 18))) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in words], "k string").withColumn("tokens", grams(F.col("k")))
+    left, right = (df.select(F.col("k").alias(side), "tokens") for side in "lr")
+    near = prefix_filter_join(left, right, 0.3, lambda l, r: C._few_edits(l - 1, r - 1))
+    alike = lambda a, b: abs(len(a) - len(b)) <= C.allowed(min(len(a), len(b)))
+    whole = {(r.l, r.r): r.jaccard for r in prefix_filter_join(left, right, 0.3).collect()}
+    assert {(r.l, r.r): r.jaccard for r in near.collect()} == {k: v for k, v in whole.items() if alike(*k)} != whole
+    assert "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_edits_and_what_tables_they_need(monkeypatch):
+    """Two words are within so many edits if the table says so, which is made for few pairs, and once for the ends that values share."""
+    words = ["".join(x) for n in range(5) for x in itertools.product("abc", repeat=n)]
+    for a, b in itertools.product(words, repeat=2):
+        assert [C.within(a, b, k) for k in range(3)] == [C.edits(a, b) <= k for k in range(3)]
+    assert [C.edits(a, b) for a, b in (("xaby", "xbay"), ("abcd", "ad"), ("ab", "ba"), ("abab", "ab"), ("", "ab"), ("ca", "abc"))] == [1, 2, 1, 2, 2, 3]
+    table, tried = C.edits, []
+    monkeypatch.setattr(C, "edits", lambda a, b: tried.append((a, b)) or table(a, b))
+    for k in "abcdefghij":
+        assert f"wanaseruni{k}" in C.readings(f"Wanaseruni {k}, Bandar Serunadi", ["kec", "kecamatan"], ["bandarserundai", "kotabandarserundai"])
+    assert len(tried) == len(set(tried)) and not any(C.within(a, b, 2) for a, b in (("kotabandar", "wanaseruni"), ("q" * 9, "bandarser")))
+
+
 def test_grams_are_a_set(spark):
     assert spark.range(1).select(grams(F.lit("aaa")).alias("g")).first().g == ["\x02a1", "aa1", "aa2", "a\x031"]
 
