@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lontar.functions import text as X
 from lontar.functions import vocabulary as V
-from lontar.functions.stemming import stem_tokens
+from lontar.functions.stemming import stem, stem_tokens
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def process(text: Column | str, config: PipelineConfig | None = None, trace: boo
     if c.extract_prices:
         prices = X.extract_prices(now)
         snap("extract_prices", prices, True)
-    for stage, step in (("lowercase", X.lowercase), ("apply_jargon_dict", lambda t: X.apply_jargon(t, c.jargon)), ("correct_spelling", X.correct_spelling)):
+    for stage, step in (("lowercase", X.lowercase), ("apply_jargon_dict", lambda t: X.apply_jargon(t, c.jargon, not c.lowercase)), ("correct_spelling", lambda t: X.correct_spelling(t, any_case=not c.lowercase))):
         if getattr(c, stage):
             now = step(now)
             snap(stage, now)
@@ -77,3 +78,39 @@ def process(text: Column | str, config: PipelineConfig | None = None, trace: boo
     if trace:
         fields.append(F.when(some, F.array(*snaps)).alias("trace"))
     return F.struct(*fields)
+
+
+def cased(text: Column | str, config: PipelineConfig) -> Column:
+    """The text after the stages up to ``lowercase``, those that work on characters; null becomes the empty text."""
+    now = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for on, step in ((config.strip_html, X.strip_html), (config.normalize_whitespace, X.normalize_whitespace), (config.lowercase, X.lowercase)):
+        now = step(now) if on else now
+    return now
+
+
+def rewriting(config: PipelineConfig) -> dict[tuple, Callable[[str], str]]:
+    """The stages that replace words in the text that ``cased`` gives, in order, for Python workers. Equal keys are the
+    same function."""
+    out = {}
+    if config.apply_jargon_dict:
+        out["jargon", not config.lowercase, tuple(config.jargon.items())] = X.substitution(config.jargon, True, not config.lowercase)
+    if config.correct_spelling:
+        out["spelling", not config.lowercase] = X.substitution(V.SPELLING, False, not config.lowercase)
+    return out
+
+
+def splitting(config: PipelineConfig) -> Callable[[str], list[str]]:
+    """The tokens of a rewritten text, for Python workers. ``str.split`` cuts at the characters of ``X.SPACE``."""
+    return re.compile("[a-zA-Z0-9_]+").findall if config.tokenize else str.split
+
+
+def finishing(config: PipelineConfig) -> Callable[[str], str | None]:
+    """What the stages after ``tokenize`` make of a token, None if they drop it, for Python workers."""
+    stop = {*V.FUNCTION_WORDS, *(config.custom_stopwords or V.DOMAIN_STOPWORDS)} if config.remove_stopwords else set()
+    roots = frozenset(config.roots)
+
+    def finish(token: str) -> str | None:
+        low = token.lower()
+        return None if low in stop else stem(low, roots) if config.stem else token
+
+    return finish

@@ -7,7 +7,7 @@ Null behaves as each function's docstring says.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,48 +79,64 @@ def extract_price(text: Column | str) -> Column:
 CHAIN = 24
 
 
-def substitute(text: Column | str, words: Mapping[str, str], longest_first: bool) -> Column:
-    """Whole words replaced one rule after the other, so that later rules see what earlier ones wrote.
+def _rules(words: Mapping[str, str], longest_first: bool) -> list[tuple[str, str, str]]:
+    """(word, expression, what takes its place) in the order of use; words that stand for themselves are left out."""
+    order = sorted(words, key=len, reverse=True) if longest_first else list(words)
+    return [(w, rf"\b{re.escape(w)}\b", words[w]) for w in order if words[w] != w]
+
+
+def substitution(words: Mapping[str, str], longest_first: bool, any_case: bool = False) -> Callable[[str], str]:
+    """What ``substitute`` does to a text, as a function for Python workers. An expression is only tried where its word
+    stands somewhere in the text, which a plain search tells. Of short lists, which ``substitute`` leaves to Java, letters
+    beyond ASCII also belong to words, as they do there up to version 18."""
+    rules = _rules(words, longest_first)
+    flags = (re.ASCII if len(rules) > CHAIN else 0) | (re.IGNORECASE if any_case else 0)
+    steps = [(w.lower() if any_case else w, re.compile(p, flags), new) for w, p, new in rules]
+
+    def chain(s: str) -> str:
+        low = s.lower() if any_case else s
+        for word, pattern, new in steps:
+            if word in low:
+                s = pattern.sub(new, s)
+                low = s.lower() if any_case else s
+        return s
+
+    return chain
 
-    One alternation finds the few texts with any of the words; only those go through the rules, from the first rule on.
+
+def substitute(text: Column | str, words: Mapping[str, str], longest_first: bool, any_case: bool = False) -> Column:
+    """Whole words replaced one rule after the other, so that later rules see what earlier ones wrote; in ``any_case``,
+    upper and lower case (of ASCII letters) are the same.
+
+    Of short lists, one alternation finds the few texts with any of the words; only those go through the rules.
     """
     t = _c(text)
-    order = sorted(words, key=len, reverse=True) if longest_first else list(words)
-    rules = [(rf"\b{re.escape(w)}\b", words[w]) for w in order if words[w] != w]
+    rules = _rules(words, longest_first)
     if not rules:
         return t
     if len(rules) <= CHAIN:
-        out = t
-        for pattern, new in rules:
-            out = F.regexp_replace(out, pattern, new)
-        return F.when(t.rlike("|".join(p for p, _ in rules)), out).otherwise(t)
+        case, out = "(?i)" if any_case else "", t
+        for _, pattern, new in rules:
+            out = F.regexp_replace(out, case + pattern, new)
+        return F.when(t.rlike(case + "|".join(p for _, p, _ in rules)), out).otherwise(t)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        some = re.compile(r"\b(?:" + "|".join(re.escape(w) for w in order) + r")\b", re.ASCII)
-        steps = [(re.compile(p, re.ASCII), new) for p, new in rules]
-
-        def chain(s: str | None) -> str | None:
-            if s is None or not some.search(s):
-                return s
-            for pattern, new in steps:
-                s = pattern.sub(new, s)
-            return s
-
+        chain = substitution(words, longest_first, any_case)
         for batch in batches:
-            yield batch.map(chain)
+            yield batch.map(lambda s: s if s is None else chain(s))
 
     return run(t)
 
 
-def apply_jargon(text: Column | str, words: Mapping[str, str] = V.JARGON) -> Column:
-    """Short forms and slang written out, longest first; for lower-case text."""
-    return substitute(text, words, longest_first=True)
+def apply_jargon(text: Column | str, words: Mapping[str, str] = V.JARGON, any_case: bool = False) -> Column:
+    """Short forms and slang written out, longest first; for lower-case text, or in any case."""
+    return substitute(text, words, longest_first=True, any_case=any_case)
 
 
-def correct_spelling(text: Column | str, words: Mapping[str, str] = V.SPELLING) -> Column:
-    """Common misspellings corrected, in the order of the list; for lower-case text."""
-    return substitute(text, words, longest_first=False)
+def correct_spelling(text: Column | str, words: Mapping[str, str] = V.SPELLING, any_case: bool = False) -> Column:
+    """Common misspellings corrected, in the order of the list; for lower-case text, or in any case."""
+    return substitute(text, words, longest_first=False, any_case=any_case)
 
 
 def tokenize(text: Column | str) -> Column:

@@ -64,7 +64,8 @@ def e17_bm25_grid(spark, folder):
 
 
 def e20_ablation(spark, folder):
-    return E.ablation(_docs(spark, folder), _queries(spark, folder), _judged(spark, folder))
+    """BM25 with all nine stages, and with each stage that changes words left out in turn, stemming among them."""
+    return E.ablation(_docs(spark, folder), _queries(spark, folder), _judged(spark, folder), PipelineConfig())
 
 
 def r15_r16_learning(spark, folder):

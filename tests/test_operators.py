@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lontar.functions import text as X
+from lontar.functions.pipeline import STAGES, PipelineConfig, process
 from lontar.operators import experiments as E
 from lontar.operators import metrics as M
 from lontar.operators import quality as Q
 from lontar.operators import ranking as R
 from lontar.operators import search as S
 from lontar.operators import spatial as P
-from lontar.plans import quality, retrieval
+from lontar.plans import experiments, quality, retrieval
 from lontar.sources import pages, readers, sinks
 from lontar.streaming import limiter
 
@@ -315,3 +317,51 @@ def test_ablation_reads_each_text_once(spark, tmp_path):
     got = {r.model: (r.map, r.delta) for r in E.ablation(docs, queries, judged).collect()}
     assert len(got) == 8 and got["full"] == (1.0, 0.0)
     assert len((tmp_path / "rows").read_text().split()) == 5
+
+
+def test_ablation_of_the_query_has_a_row_without_stemming(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    listings = [("a", "Kos putra", None, ["AC"], "pembayaran bulanan", at, at.date()), ("b", "Kos putri", "Kedaton", None, "dibayar tahunan", at, at.date()), ("c", "rumah luas", None, [], None, at, at.date())]
+    spark.createDataFrame(listings, "id string, judul string, kecamatan string, fasilitas array<string>, deskripsi string, inserted_at timestamp, scrape_date date").write.parquet(f"{tmp_path}/listings.parquet")
+    spark.createDataFrame([("q", "pembayarannya")], "id string, query_text string").write.parquet(f"{tmp_path}/queries.parquet")
+    spark.createDataFrame([("q", "a", "x", 0, at), ("q", "b", "x", 2, at)], "query_id string, listing_id string, annotator string, relevance int, labelled_at timestamp").write.parquet(f"{tmp_path}/relevance_labels.parquet")
+    got = {r.model: r for r in experiments.e20_ablation(spark, str(tmp_path)).collect()}
+    assert set(got) == {"full", *(f"no_{s}" for s in STAGES if s != "extract_prices")}
+    # the stem of the query's word is in a and in b, which is shorter and so comes first; without stemming nothing is found and a comes first by id
+    assert (got["full"].map, got["full"].delta, got["full"].p_at_5) == (1, 0, 0.2) and (got["no_stem"].map, got["no_stem"].delta) == (0.5, -0.5)
+
+
+ODD = [
+    "Kos Putra AC, KM dlm; <b>Kost-Kostan</b> &amp; all-in", "kos putri   murah dekat　kampus", None, "", "  ", "<p>Kontrakan</p><script>kos putra</script> LUAS jl. Mawar no. 3", "fasilitsa lengkap, BAGYS; pnya wifi pnyé épny",
+    "kos kos kos putra putra 1,5jt/bln", "Tempatnya dibersihkan setiap hari, kebersihannya terjaga_baik", "yang dan di kos kamar", "\x1ckos\x85putra\x0bac İstanbul", "uang dp 500rb, gak ada jam mlm; kostan 2 < 3 > 1", "dibayarkan, membayar; PEMBAYARAN",
+]
+
+
+def test_ablation_is_bm25_over_the_pipeline_of_every_setting(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(ODD + ODD[:5])], "doc_id string, text string").repartition(3)
+    asks = ["kos PUTRA ac", "kamar mandi dalam", "<i>bersih</i> kebersihan", "pembayaran uang muka", "kontrakan luas, jalan mawar", "fasilitas bagus punya", None, "zzz", "kos kos putra", "yang di", "all-in", "kost-kostan"]
+    queries = spark.createDataFrame([(f"q{i:02}", t) for i, t in enumerate(asks)], "query_id string, text string")
+    base, settings = PipelineConfig(), {"full": PipelineConfig()}
+    settings |= {f"no_{s}": replace(base, **{s: False}) for s in STAGES if s != "extract_prices"}
+    seen = []
+    monkeypatch.setattr(E.M, "ranking_metrics", lambda ranked, judged, of=M.ranking_metrics: (seen.append(ranked), of(ranked, judged))[1])
+    monkeypatch.setattr(E, "discard", lambda df: None)
+    monkeypatch.setattr(E, "WORDS", 20)
+    monkeypatch.setattr(E.R, "ROWS", 2)
+    judged = spark.createDataFrame([(f"q{q:02}", f"d{d:02}", int((q + d) % 3)) for q in range(12) for d in range(0, 18, 2)], "query_id string, doc_id string, relevance int")
+    table = {r.model: r for r in E.ablation(docs, queries, judged, base).collect()}
+    got = {(r.model, r.query_id, r["rank"]): r.doc_id for r in seen[0].collect()}
+    want = {}
+    for name, config in settings.items():
+        told, by = (df.select(key, process("text", config)["tokens"].alias("tokens")) for df, key in ((docs, "doc_id"), (queries, "query_id")))
+        ranked = R.bm25(told, by, 10).select(F.lit(name).alias("model"), "query_id", "doc_id", "rank").cache()
+        want |= {(r.model, r.query_id, r["rank"]): r.doc_id for r in ranked.collect()}
+        mean = M.summary(M.ranking_metrics(ranked, judged)).first()
+        assert (table[name].map, table[name].p_at_5) == pytest.approx((mean.map, mean.p_at_5))
+    assert got == want and len(got) == 9 * 12 * 10
+
+
+def test_stages_without_lowercase_see_words_in_any_case(spark):
+    df = spark.createDataFrame([("Kos AC di JL Mawar, FasilTAS Pembayaran",)], "t string")
+    p = process("t", PipelineConfig(lowercase=False, remove_stopwords=False))
+    assert df.select(p["tokens"].alias("t")).first().t == df.select(process("t", PipelineConfig(remove_stopwords=False))["tokens"].alias("t")).first().t
