@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,37 +80,37 @@ def process(text: Column | str, config: PipelineConfig | None = None, trace: boo
     return F.struct(*fields)
 
 
-def cased(text: Column | str, config: PipelineConfig) -> Column:
-    """The text after the stages up to ``lowercase``, those that work on characters; null becomes the empty text."""
-    now = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    for on, step in ((config.strip_html, X.strip_html), (config.normalize_whitespace, X.normalize_whitespace), (config.lowercase, X.lowercase)):
-        now = step(now) if on else now
-    return now
-
-
 def rewriting(config: PipelineConfig) -> dict[tuple, Callable[[str], str]]:
-    """The stages that replace words in the text that ``cased`` gives, in order, for Python workers. Equal keys are the
-    same function."""
-    out = {}
+    """The stages up to ``tokenize`` that change the text, in order, for Python workers. Equal keys do the same."""
+    any_case, out = not config.lowercase, {}
+    for stage, step in (("strip_html", X.bare_text), ("normalize_whitespace", X.normalize_text), ("lowercase", str.lower)):
+        if getattr(config, stage):
+            out[(stage,)] = step
     if config.apply_jargon_dict:
-        out["jargon", not config.lowercase, tuple(config.jargon.items())] = X.substitution(config.jargon, True, not config.lowercase)
+        out["jargon", any_case, tuple(config.jargon.items())] = X.substitution(config.jargon, True, any_case)
     if config.correct_spelling:
-        out["spelling", not config.lowercase] = X.substitution(V.SPELLING, False, not config.lowercase)
+        out["spelling", any_case] = X.substitution(V.SPELLING, False, any_case)
     return out
 
 
 def splitting(config: PipelineConfig) -> Callable[[str], list[str]]:
     """The tokens of a rewritten text, for Python workers. ``str.split`` cuts at the characters of ``X.SPACE``."""
-    return re.compile("[a-zA-Z0-9_]+").findall if config.tokenize else str.split
+    return X.tokens if config.tokenize else str.split
+
+
+@lru_cache
+def _stemmer(roots: frozenset[str]) -> Callable[[str], str]:
+    """``stem`` with a memory, one a process and list of roots."""
+    return lru_cache(200_000)(lambda word: stem(word, roots))
 
 
 def finishing(config: PipelineConfig) -> Callable[[str], str | None]:
     """What the stages after ``tokenize`` make of a token, None if they drop it, for Python workers."""
     stop = {*V.FUNCTION_WORDS, *(config.custom_stopwords or V.DOMAIN_STOPWORDS)} if config.remove_stopwords else set()
-    roots = frozenset(config.roots)
+    stemmed = _stemmer(frozenset(config.roots))
 
     def finish(token: str) -> str | None:
         low = token.lower()
-        return None if low in stop else stem(low, roots) if config.stem else token
+        return None if low in stop else stemmed(low) if config.stem else token
 
     return finish

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +19,7 @@ from lontar.functions import vocabulary as V
 
 # Fixed value: the characters that count as white space.
 SPACE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _c(x: Column | str) -> Column:
@@ -30,18 +33,39 @@ def normalize_whitespace(text: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Without white space at the ends; null stays null."""
-    return F.regexp_replace(_c(text), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(_c(text), F.lit(WHITE))
+
+
+# What is no text in HTML, and the entities that are decoded, in order.
+_UNSEEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+_TAG = "<[a-zA-Z/!?][^>]*>"
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def strip_html(text: Column | str) -> Column:
     """The text nodes joined by blanks, entities decoded; scripts, styles and comments go. Null becomes the empty text."""
-    bare = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, "<[a-zA-Z/!?][^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    bare = F.regexp_replace(F.coalesce(_c(text), F.lit("")), _UNSEEN, " ")
+    bare = F.regexp_replace(bare, _TAG, " ")
+    for entity, char in _ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return normalize_whitespace(bare)
 
 
+def normalize_text(text: str) -> str:
+    """``normalize_whitespace`` for Python workers: ``str.split`` cuts at the characters of ``SPACE``."""
+    return " ".join(text.split())
+
+
+def bare_text(text: str) -> str:
+    """``strip_html`` for Python workers."""
+    if "<" in text:
+        text = re.sub(_TAG, " ", re.sub(_UNSEEN, " ", text, flags=re.ASCII))
+    if "&" in text:
+        for entity, char in _ENTITIES:
+            text = text.replace(entity, char)
+    return normalize_text(text)
+
+
 def lowercase(text: Column | str) -> Column:
     """Lower case; null becomes the empty text."""
     return F.lower(F.coalesce(_c(text), F.lit("")))
@@ -86,19 +110,43 @@ def _rules(words: Mapping[str, str], longest_first: bool) -> list[tuple[str, str
 
 
 def substitution(words: Mapping[str, str], longest_first: bool, any_case: bool = False) -> Callable[[str], str]:
-    """What ``substitute`` does to a text, as a function for Python workers. An expression is only tried where its word
-    stands somewhere in the text, which a plain search tells. Of short lists, which ``substitute`` leaves to Java, letters
-    beyond ASCII also belong to words, as they do there up to version 18."""
+    """What ``substitute`` does to a text, as a function for Python workers. Of short lists, which ``substitute`` leaves to
+    Java, letters beyond ASCII also belong to words, as they do there up to version 18.
+
+    A rule is only tried if the first word of what it looks for is in the text, or in what an earlier rule wrote. That
+    needs rules that begin and end with letters or digits on both sides; in a list with any other, all are tried.
+    """
     rules = _rules(words, longest_first)
-    flags = (re.ASCII if len(rules) > CHAIN else 0) | (re.IGNORECASE if any_case else 0)
-    steps = [(w.lower() if any_case else w, re.compile(p, flags), new) for w, p, new in rules]
+    case = str.lower if any_case else str
+    whole = all(re.fullmatch(r"(?s)\w(.*\w)?", x, re.ASCII) and "\\" not in x for w, _, new in rules for x in (w, new))
+
+    def expression(word: str) -> str:
+        """Whole words ``word``; letters come first where they can, since a search for them is fast."""
+        letters = "".join(f"[{c.lower()}{c.upper()}]" if any_case and c.isascii() and c.isalpha() else re.escape(c) for c in word)
+        return rf"{letters}(?<!\w{letters})\b" if whole else rf"\b{letters}\b"
+
+    steps = [(re.compile(expression(w), re.ASCII if len(rules) > CHAIN else 0), new, frozenset(tokens(case(new)))) for w, _, new in rules]
+    starts: dict[str, list[int]] = {}  # rules by the first word of what they look for
+    for n, (w, _, _) in enumerate(rules):
+        starts.setdefault(tokens(case(w))[0] if whole else "", []).append(n)
+    firsts = frozenset(starts)
 
     def chain(s: str) -> str:
-        low = s.lower() if any_case else s
-        for word, pattern, new in steps:
-            if word in low:
-                s = pattern.sub(new, s)
-                low = s.lower() if any_case else s
+        hit = firsts.intersection(tokens(case(s))) if whole else firsts
+        if not hit:
+            return s
+        todo, last = [n for w in hit for n in starts[w]], -1
+        heapify(todo)
+        while todo:
+            n = heappop(todo)
+            if n == last:
+                continue
+            last = n
+            pattern, new, written = steps[n]
+            s, times = pattern.subn(new, s)
+            if times and not firsts.isdisjoint(written):
+                for later in (x for w in firsts & written for x in starts[w] if x > n):
+                    heappush(todo, later)
         return s
 
     return chain
@@ -144,6 +192,10 @@ def tokenize(text: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0))
 
 
+#: ``tokenize`` for Python workers, with a short memory; the lists it gives are shared.
+tokens = lru_cache(8)(re.compile("[a-zA-Z0-9_]+").findall)
+
+
 def remove_stopwords(tokens: Column | str, custom: Sequence[str] | None = None, function_words: Sequence[str] = V.FUNCTION_WORDS) -> Column:
     """Tokens that are no stopwords in lower case. ``custom``, if not empty, takes the place of the domain's list."""
     stop = F.array(*(F.lit(w) for w in dict.fromkeys([*function_words, *(custom or V.DOMAIN_STOPWORDS)])))

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.functions.pipeline import STAGES, PipelineConfig, cased, finishing, rewriting, splitting
+from lontar.functions.pipeline import STAGES, PipelineConfig, finishing, rewriting, splitting
 from lontar.operators import metrics as M
 from lontar.operators import ranking as R
 from lontar.operators.search import fuse
@@ -89,21 +89,23 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
     and the stages after the cut work on each different word once a task.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    shapes = list(dict.fromkeys((c.strip_html, c.normalize_whitespace, c.lowercase) for c in configs))
-    sources = [shapes.index((c.strip_html, c.normalize_whitespace, c.lowercase)) for c in configs]
-    of_shape = [next(c for c, at in zip(configs, sources) if at == shape) for shape in range(len(shapes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: defaultdict[str, int] = defaultdict()  # of every word as it was cut
         number.default_factory = number.__len__
         terms: dict[str, int] = {}
-        rewrites, cuts, ends = {}, {}, {}
-        plans, end_of = [], []
-        for c, source in zip(configs, sources):
-            steps = [rewrites.setdefault(key, step) for key, step in rewriting(c).items()]
-            if c.tokenize not in cuts:
-                cuts[c.tokenize] = lambda text, cut=splitting(c): array("i", map(number.__getitem__, cut(text)))
-            plans.append((source, [*steps, cuts[c.tokenize]]))
+        # every beginning of a list of steps has a register of its own: (step, register that it reads), by beginnings
+        program, register, steps, ends = [], {(): 0}, {}, {}
+        last_of, end_of = [], []
+        for c in configs:
+            cut = ("cut", c.tokenize), lambda text, cut=splitting(c): array("i", map(number.__getitem__, cut(text)))
+            before = ()
+            for key, step in [*rewriting(c).items(), cut]:
+                if (now := (*before, key)) not in register:
+                    program.append((steps.setdefault(key, step), register[before]))
+                    register[now] = len(program)
+                before = now
+            last_of.append(register[before])
             end_of.append((c.remove_stopwords, c.stem))
             ends.setdefault(end_of[-1], finishing(c))
         final = {key: np.zeros(0, np.int64) for key in ends}  # the term of every word, -1 for none
@@ -126,19 +128,16 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
                 b = whole.slice(start, R.ROWS)
                 n = b.num_rows
                 streams, lengths = [array("i") for _ in configs], [[] for _ in configs]
-                for texts in b.column("texts").to_pylist():
-                    memo = {}
-                    for (source, steps), stream, length in zip(plans, streams, lengths):
-                        now = texts[source]
-                        for step in steps:
-                            key = step, now
-                            if (made := memo.get(key)) is None:
-                                made = memo[key] = step(now)
-                            if step is steps[-1]:
-                                stream.extend(made)
-                                length.append(len(made))
-                            else:
-                                now = made
+                for text in b.column("text").to_pylist():
+                    made, values = {}, [text or ""]
+                    for step, source in program:
+                        key = step, values[source]
+                        if (value := made.get(key)) is None:
+                            value = made[key] = step(key[1])
+                        values.append(value)
+                    for last, stream, length in zip(last_of, streams, lengths):
+                        stream.extend(values[last])
+                        length.append(len(values[last]))
                 for key, finish in ends.items():
                     new = [finish(w) for w in islice(number, len(final[key]), None)]
                     final[key] = np.concatenate([final[key], np.array([-1 if t is None else terms.setdefault(t, len(terms)) for t in new], np.int64)])
@@ -151,7 +150,8 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
                     at, term = at[kept], term[kept]
                     sizes[:, s] = np.bincount(at, minlength=n)
                     pairs, often = np.unique(at * max(len(terms), 1) + term, return_counts=True)
-                    at, term = np.divmod(pairs, max(len(terms), 1))
+                    at = pairs // max(len(terms), 1)
+                    term = pairs - at * max(len(terms), 1)
                     dfs[s] += np.bincount(term, minlength=len(terms))
                     hit = place[s][term] >= 0
                     found.append((at[hit], place[s][term[hit]], often[hit]))
@@ -170,8 +170,7 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
         if types is not None:
             yield from told_terms()
 
-    texts = docs.select("doc_id", F.array(*(cased("text", c) for c in of_shape)).alias("texts"))
-    return texts.mapInArrow(run, f"doc_id {kind}, lengths array<int>, places array<int>, counts array<int>, term string, dfs array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lengths array<int>, places array<int>, counts array<int>, term string, dfs array<bigint>")
 
 
 def ablation(docs: DataFrame, queries: DataFrame, judged: DataFrame, base: PipelineConfig | None = None, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -186,11 +185,11 @@ def ablation(docs: DataFrame, queries: DataFrame, judged: DataFrame, base: Pipel
     names, configs = list(settings), list(settings.values())
 
     # the words of the queries, a query set
-    rows = queries.select("query_id", *(cased("text", c).alias(f"text{i}") for i, c in enumerate(configs))).collect()
+    rows = queries.select("query_id", "text").collect()
     asked = []
-    for i, c in enumerate(configs):
+    for c in configs:
         steps, cut, finish = list(rewriting(c).values()), splitting(c), finishing(c)
-        asked.append([[f for w in cut(reduce(lambda text, step: step(text), steps, r[f"text{i}"])) if (f := finish(w)) is not None] for r in rows])
+        asked.append([[f for w in cut(reduce(lambda text, step: step(text), steps, r.text or "")) if (f := finish(w)) is not None] for r in rows])
     wanted, first = [], [0]
     for lists in asked:
         wanted.append({w: first[-1] + n for n, w in enumerate(sorted({w for words in lists for w in words}))})

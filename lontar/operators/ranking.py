@@ -63,10 +63,13 @@ def score_blocks(docs: DataFrame, query_ids: list, scorer: Callable, k: int | No
             for whole in batches:
                 for start in range(0, whole.num_rows, ROWS):
                     b = whole.slice(start, ROWS)
-                    ids, s = b.column("doc_id").to_numpy(zero_copy_only=False), score(b)
+                    ids, s = b.column("doc_id").to_numpy(zero_copy_only=False), np.ascontiguousarray(score(b).T)
                     for q in range(len(names)):
-                        a, i = np.concatenate([kept[q][0], s[:, q]]), np.concatenate([kept[q][1], ids])
-                        if k is not None:
+                        a, i = kept[q]
+                        # of a query that has its k, only what may take a place
+                        may = np.nonzero(s[q] > a[-1] - 2 * 10.0**-DIGITS)[0] if k and len(a) >= k else slice(None)
+                        a, i = np.concatenate([a, s[q][may]]), np.concatenate([i, ids[may]])
+                        if k is not None and len(a) > len(kept[q][0]):
                             top = best(a, i, k)
                             a, i = a[top], i[top]
                         kept[q] = (a, i)

@@ -365,3 +365,37 @@ def test_stages_without_lowercase_see_words_in_any_case(spark):
     df = spark.createDataFrame([("Kos AC di JL Mawar, FasilTAS Pembayaran",)], "t string")
     p = process("t", PipelineConfig(lowercase=False, remove_stopwords=False))
     assert df.select(p["tokens"].alias("t")).first().t == df.select(process("t", PipelineConfig(remove_stopwords=False))["tokens"].alias("t")).first().t
+
+
+def test_best_of_many_batches_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 3)
+    rng = np.random.default_rng(5)
+    rows = [(f"d{i:03}", [float(x) for x in rng.integers(0, 4, 5) + rng.normal(0, 3e-7, 5)] + [0.0]) for i in rng.permutation(90)]
+    docs = spark.createDataFrame(rows, "doc_id string, vector array<double>").repartition(2)
+    score = lambda block: lambda b: np.array(b.column("vector").to_pylist())[:, block.start : block.stop]
+    got = {(r.query_id, r["rank"]): r.doc_id for r in R.score_blocks(docs, list("abcdef"), score, 7).collect()}
+    want = {(q, n + 1): d for at, q in enumerate("abcdef") for n, d in enumerate(sorted((d for d, _ in rows), key=lambda d: (-round(dict(rows)[d][at], 6), d))[:7])}
+    assert got == want
+
+
+def test_ends_are_stripped_of_what_counts_as_white_space(spark):
+    df = spark.range(0x10000).where("id not between 55296 and 57343 and id > 0").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    t = F.concat("c", F.lit(" a"), "c", F.lit("b "), "c")
+    both = df.select("c", X.strip(t).alias("x"), F.regexp_replace(t, f"^{X.SPACE}+|{X.SPACE}+$", "").alias("y"))
+    assert both.where("not x <=> y").count() == 0 and both.where("x <> concat(c, ' a', c, 'b ', c)").count() == len(X.WHITE)
+    assert all(not c.split() for c in X.WHITE) and [c for c in map(chr, range(0x110000)) if c.isspace()] == sorted(X.WHITE)
+
+
+def test_substitution_is_rule_after_rule():
+    words = {"a b": "c", "c": "d e", "e": "a b", "km dlm": "kamar mandi dalam", "dalam": "in", "x": "x", "wi-fi": "c"} | {f"w{i}": f"w{i + 1} z" for i in range(30)}
+    rng = random.Random(4)
+    for odd in ({}, {"-q": "", "r": "-", "s": ""}):
+        for any_case in (False, True):
+            rules = [(rf"\b{X.re.escape(w)}\b", n) for w, n in sorted((words | odd).items(), key=lambda x: -len(x[0])) if w != n]
+            chain = X.substitution(words | odd, True, any_case)
+            for _ in range(300):
+                text = "".join(rng.choice(["a", "b", "c", "e", "E", "KM", "km", "dlm", "Dalam", "wi", "fi", "w1", "W28", "w3", "q", "r", "s", "x", "é"]) + rng.choice([" ", " ", "-", "_", "", "\n", "é"]) for _ in range(rng.randrange(12)))
+                want = text
+                for pattern, new in rules:
+                    want = X.re.sub(pattern, new, want, flags=X.re.ASCII | (X.re.IGNORECASE if any_case else 0))
+                assert chain(text) == want, text
