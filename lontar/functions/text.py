@@ -192,8 +192,14 @@ def tokenize(text: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0))
 
 
-#: ``tokenize`` for Python workers, with a short memory; the lists it gives are shared.
-tokens = lru_cache(8)(re.compile("[a-zA-Z0-9_]+").findall)
+_BLANKS = bytes(n if re.match(r"\w", chr(n), re.ASCII) else 32 for n in range(256))
+_RUNS = re.compile("[a-zA-Z0-9_]+").findall
+
+
+@lru_cache(8)
+def tokens(text: str) -> list[str]:
+    """``tokenize`` for Python workers, with a short memory; the lists are shared."""
+    return text.encode().translate(_BLANKS).decode().split() if text.isascii() else _RUNS(text)
 
 
 def remove_stopwords(tokens: Column | str, custom: Sequence[str] | None = None, function_words: Sequence[str] = V.FUNCTION_WORDS) -> Column:

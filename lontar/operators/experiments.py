@@ -98,7 +98,7 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
         program, register, steps, ends = [], {(): 0}, {}, {}
         last_of, end_of = [], []
         for c in configs:
-            cut = ("cut", c.tokenize), lambda text, cut=splitting(c): array("i", map(number.__getitem__, cut(text)))
+            cut = ("cut", c.tokenize), lambda text, cut=splitting(c): array("i", [number[w] for w in cut(text)])
             before = ()
             for key, step in [*rewriting(c).items(), cut]:
                 if (now := (*before, key)) not in register:
@@ -142,19 +142,27 @@ def _words_told(docs: DataFrame, configs: list[PipelineConfig], wanted: list[dic
                     new = [finish(w) for w in islice(number, len(final[key]), None)]
                     final[key] = np.concatenate([final[key], np.array([-1 if t is None else terms.setdefault(t, len(terms)) for t in new], np.int64)])
                 dfs = np.pad(dfs, ((0, 0), (0, len(terms) - dfs.shape[1])))
-                sizes, found = np.zeros((n, len(configs)), np.int32), []
+                sizes, found, done = np.zeros((n, len(configs)), np.int32), [], []
+                number_type = np.int32 if n * len(terms) < 2**31 else np.int64
                 for s, slots in enumerate(wanted):
                     place[s] = np.concatenate([place[s], np.array([slots.get(t, -1) for t in islice(terms, len(place[s]), None)], np.int64)])
-                    term = final[end_of[s]][np.array(streams[s], np.int64)]
-                    at, kept = np.repeat(np.arange(n), lengths[s]), term >= 0
-                    at, term = at[kept], term[kept]
-                    sizes[:, s] = np.bincount(at, minlength=n)
-                    pairs, often = np.unique(at * max(len(terms), 1) + term, return_counts=True)
-                    at = pairs // max(len(terms), 1)
-                    term = pairs - at * max(len(terms), 1)
-                    dfs[s] += np.bincount(term, minlength=len(terms))
-                    hit = place[s][term] >= 0
-                    found.append((at[hit], place[s][term[hit]], often[hit]))
+                    same = next((x for x in range(s) if end_of[x] == end_of[s] and streams[x] == streams[s] and lengths[x] == lengths[s]), s)
+                    if same == s:
+                        term = final[end_of[s]].astype(number_type)[np.array(streams[s])]
+                        at, kept = np.repeat(np.arange(n, dtype=number_type), lengths[s]), term >= 0
+                        at, term = at[kept], term[kept]
+                        size = np.bincount(at, minlength=n)
+                        pairs, often = np.unique(at * number_type(len(terms)) + term, return_counts=True)
+                        at = pairs // number_type(max(len(terms), 1))
+                        term = pairs - at * number_type(len(terms))
+                        done.append((size, at, term, often, np.bincount(term, minlength=len(terms))))
+                    else:
+                        done.append(done[same])
+                    sizes[:, s], at, term, often, df = done[s]
+                    dfs[s] += df
+                    slot = place[s][term]
+                    hit = slot >= 0
+                    found.append((at[hit], slot[hit], often[hit]))
                 at, slot, often = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(at, kind="stable")
                 ends_at = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)

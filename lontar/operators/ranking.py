@@ -67,12 +67,11 @@ def score_blocks(docs: DataFrame, query_ids: list, scorer: Callable, k: int | No
                     for q in range(len(names)):
                         a, i = kept[q]
                         # of a query that has its k, only what may take a place
-                        may = np.nonzero(s[q] > a[-1] - 2 * 10.0**-DIGITS)[0] if k and len(a) >= k else slice(None)
-                        a, i = np.concatenate([a, s[q][may]]), np.concatenate([i, ids[may]])
-                        if k is not None and len(a) > len(kept[q][0]):
-                            top = best(a, i, k)
-                            a, i = a[top], i[top]
-                        kept[q] = (a, i)
+                        may = np.nonzero(s[q] > a[-1] - 2 * 10.0**-DIGITS)[0] if k and len(a) >= k else np.arange(len(ids))
+                        if len(may):
+                            a, i = np.concatenate([a, s[q][may]]), np.concatenate([i, ids[may]])
+                            top = slice(None) if k is None else best(a, i, k)
+                            kept[q] = (a[top], i[top])
             q = np.repeat(np.arange(len(names)), [len(a) for a, _ in kept])
             frame = pd.DataFrame({"query_id": [names[x] for x in q], "doc_id": np.concatenate([i for _, i in kept]) if len(kept) else [], "score": np.concatenate([a for a, _ in kept]) if len(kept) else []})
             yield from pa.Table.from_pandas(frame, preserve_index=False, schema=pa.schema([("query_id", pa.string()), ("doc_id", whole_type), ("score", pa.float64())])).to_batches()
