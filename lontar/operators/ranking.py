@@ -66,8 +66,14 @@ def score_blocks(docs: DataFrame, query_ids: list, scorer: Callable, k: int | No
                     ids, s = b.column("doc_id").to_numpy(zero_copy_only=False), np.ascontiguousarray(score(b).T)
                     for q in range(len(names)):
                         a, i = kept[q]
-                        # of a query that has its k, only what may take a place
-                        may = np.nonzero(s[q] > a[-1] - 2 * 10.0**-DIGITS)[0] if k and len(a) >= k else np.arange(len(ids))
+                        may = np.arange(len(ids))
+                        if k and len(a) >= k and not np.isnan(a[-1]):  # only what takes a place: more than the last, or as much and a smaller id
+                            may = np.nonzero(s[q] > a[-1] - 2 * 10.0**-DIGITS)[0]
+                            ahead, last = np.round(s[q][may], DIGITS), np.round(a[-1], DIGITS)
+                            equal = np.nonzero(ahead == last)[0]
+                            ahead = ahead > last
+                            ahead[equal] = ids[may[equal]] < i[-1]
+                            may = may[ahead]
                         if len(may):
                             a, i = np.concatenate([a, s[q][may]]), np.concatenate([i, ids[may]])
                             top = slice(None) if k is None else best(a, i, k)
